@@ -7,6 +7,7 @@ Text is worked on as the contiguous byte buffer of an Arrow batch, cut into sub-
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is named, as in tests on one machine."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-"))
+    return context.getCheckpointDir() or named
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: for a plain scan, the bytes of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
