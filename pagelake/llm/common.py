@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 SUB_BYTES = 1 << 20
@@ -52,14 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: for a plain scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, rows_bytes: float, each: int = 16 << 20) -> int:
@@ -175,11 +176,46 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - first, length)
 
 
+def _validity(valid: np.ndarray | None) -> pa.Buffer | None:
+    return None if valid is None or valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType, valid: np.ndarray | None = None) -> pa.Array:
+    """A list of each length; null where not valid."""
     off = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=off[1:])
-    out = pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
-    if valid is not None and not valid.all():
-        # a list is null where its offset is
-        out = pa.ListArray.from_arrays(pa.array([None if i < len(valid) and not valid[i] else int(o) for i, o in enumerate(off)], pa.int32()), pa.array(values, kind))
-    return out
+    return pa.Array.from_buffers(pa.list_(kind), len(lengths), [_validity(valid), pa.py_buffer(off)], children=[pa.array(values, kind)])
+
+
+def binary_array(data: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A byte string of each length; null where not valid."""
+    off = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=off[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [_validity(valid), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def save(path: str, name: str, array: np.ndarray) -> None:
+    """An array's bytes as a file of a shared folder; a task that runs again replaces it by the same bytes."""
+    system, folder = _filesystem(path)
+    system.create_dir(folder)
+    part = f"{folder}/{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(np.ascontiguousarray(array).view(np.uint8).data)
+    system.move(part, f"{folder}/{name}")
+
+
+def load(path: str, name: str, kind: type) -> np.ndarray:
+    """The array that ``save`` wrote; mapped into memory where the folder is a mounted one."""
+    system, folder = _filesystem(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(f"{folder}/{name}", kind, "r")
+    with system.open_input_file(f"{folder}/{name}") as file:
+        return np.frombuffer(file.read(), kind)
