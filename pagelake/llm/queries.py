@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality, simhash
+from . import bpe, decontam, huffman, lines, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring.op1,
     "op3_simhash_near_dedup": simhash.op3,
+    "op5_huffman_token_ids": huffman.op5,
+    "op6_benchmark_decontamination": decontam.op6,
     "op7_quality_classifier": quality.op7,
+    "op9_byte_level_bpe": bpe.op9,
     "op10_line_dedup": lines.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op10_line_dedup": lines.SQL}
