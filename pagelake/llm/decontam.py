@@ -217,20 +217,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
+def _clean(items: list[tuple]):
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        index, out = _index(items), []
+        for b in C.sub_batches([pa.record_batch([text], ["text"])]):
+            ok = np.ones(b.num_rows, bool)
+            ok[index.leaks(*C.text_bytes(b.column(0)))[0]] = False
+            out.append(ok)
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return clean
+
+
 def filter_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns as they were."""
     for items in groups(benchmark):
-
-        @F.arrow_udf("boolean")
-        def clean(text: pa.Array, items=items) -> pa.Array:
-            index, out = _index(items), []
-            for b in C.sub_batches([pa.record_batch([text], ["text"])]):
-                ok = np.ones(b.num_rows, bool)
-                ok[index.leaks(*C.text_bytes(b.column(0)))[0]] = False
-                out.append(ok)
-            return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
-
-        docs = docs.where(clean(docs["text"]))
+        docs = docs.where(_clean(items)(docs["text"]))
     return docs
 
 

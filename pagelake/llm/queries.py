@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, huffman, lines, quality, simhash, substring
+from . import bpe, decontam, huffman, lines, lm, media, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1,
+    "op2_mpeg_audio": media.op2,
     "op3_simhash_near_dedup": simhash.op3,
+    "op4_toxicity_cnn": toxicity.op4,
     "op5_huffman_token_ids": huffman.op5,
     "op6_benchmark_decontamination": decontam.op6,
     "op7_quality_classifier": quality.op7,
+    "op8_deleted_interpolation": lm.op8,
     "op9_byte_level_bpe": bpe.op9,
     "op10_line_dedup": lines.op10,
 }
