@@ -176,7 +176,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = Non
 
 
 def _unite(batches):
-    """Per document, the overlapping or touching windows as one span, with the document of the first window's first occurrence."""
+    """Per document, the overlapping or touching windows (equal ones of repeated rows too) as one span, with the document of the first window's first occurrence."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -198,7 +198,7 @@ def _unite(batches):
 
 def repeats(docs: DataFrame, size: int = WINDOW, bits: int | None = None) -> DataFrame:
     """doc_id, start, end (in characters) and first_doc_id of every maximal span of windows that occurred earlier."""
-    later = repeated_windows(docs, size, bits).distinct()
+    later = repeated_windows(docs, size, bits)
     listed = later.groupBy("doc_id").agg(F.collect_list(F.struct("span", F.col("first.doc_id").alias("source"))).alias("spans"))
     return listed.mapInArrow(_unite, "doc_id long, start int, end int, first_doc_id long")
 
