@@ -35,16 +35,28 @@ SCHEMA = "doc_id long, lang string, score double, toxic boolean"
 N_FILTERS = len(WIDTHS) * FILTERS
 
 
-def word_buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words' buckets, each word's place among them, and every row's first word."""
+def hashed_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words' hashes and buckets, each word's place among them, and every row's first word."""
     start, end = C.runs(_WORD[data], off)
     first = np.searchsorted(start, off)
     prefix = C.prefix_hash(C.BYTE_VALUES[fold(data)])
-    _, once, word = np.unique(C.range_hash(prefix, start, end), return_index=True, return_inverse=True)
+    hashes, once, word = np.unique(C.range_hash(prefix, start, end), return_index=True, return_inverse=True)
     start, end = start[once], end[once]
     ends = [end, *[np.minimum(start + n, end) for n in PREFIXES]]
     salted = [C.mix(C.range_hash(prefix, start, e) + np.uint64(k * 0x632BE59B)) >> np.uint64(64 - BUCKET_BITS) for k, e in enumerate(ends)]
-    return np.stack(salted, 1).astype(np.int32), word, first
+    return hashes, np.stack(salted, 1).astype(np.int32), word, first
+
+
+def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words' buckets, each word's place among them, and every row's first word, part by part to keep the work arrays small."""
+    parts = [hashed_words(*C.text_bytes(b.column(0))) for b in C.sub_batches([pa.record_batch([texts], ["text"])])]
+    if not parts:
+        return np.zeros((0, len(PREFIXES) + 1), np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    _, once, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    buckets = np.concatenate([p[1] for p in parts])[once]
+    edge = np.cumsum([0, *[len(p[0]) for p in parts]])
+    word = np.concatenate([place[e : e + len(p[0])].astype(np.int32)[p[2]] for e, p in zip(edge, parts)])
+    return buckets, word, np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))])
 
 
 @dataclass
@@ -85,7 +97,7 @@ class Net:
         return np.maximum(top + self.shift, 0) @ self.out + self.bias
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        buckets, word, first = word_buckets(data, off)
+        _, buckets, word, first = hashed_words(data, off)
         if not len(off) - 1:
             return np.zeros(0)
         z = self.logits(self.responses(self.embed(buckets), word, first)[0]).astype(np.float64)
@@ -103,12 +115,15 @@ def fresh(seed: int = 5) -> Net:
 
 def _documents(buckets: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many texts select each row of the table."""
-    n, row = np.zeros(1 << BUCKET_BITS, np.int64), np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = np.unique(row * len(buckets) + word)
-    row, word = pair // max(1, len(buckets)), pair % max(1, len(buckets))
-    for k in range(buckets.shape[1]):
-        chosen = np.unique(row << BUCKET_BITS | buckets[word, k])
-        n += np.bincount(chosen & ((1 << BUCKET_BITS) - 1), minlength=len(n))
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for lo in range(0, len(first) - 1, 500):
+        edge = first[lo : lo + 501]
+        row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        pair = np.unique(row * len(buckets) + word[edge[0] : edge[-1]])
+        row, own = pair // max(1, len(buckets)), pair % max(1, len(buckets))
+        for k in range(buckets.shape[1]):
+            chosen = np.unique(row << BUCKET_BITS | buckets[own, k])
+            n += np.bincount(chosen & ((1 << BUCKET_BITS) - 1), minlength=len(n))
     return n
 
 
@@ -116,8 +131,7 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
     """Adagrad on the weighted logistic loss, ``epochs`` times over and for ``steps`` batches at least; only the windows that a maximum came from pass gradients on."""
     net = fresh(seed)
     rng = np.random.Generator(np.random.PCG64(seed + 1))
-    data, off = C.text_bytes(texts)
-    buckets, word, first = word_buckets(data, off)
+    buckets, word, first = word_buckets(texts)
     heavy = np.where(y > 0, min(8.0, 0.5 * (len(y) - y.sum()) / max(1, y.sum())) if len(y) else 1.0, 1.0)
     frozen = _documents(buckets, word, first) < MIN_DOCS
     net.table[frozen] = 0
