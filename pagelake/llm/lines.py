@@ -10,7 +10,8 @@ handled by their first occurrence, never by pairs.
 
 Defined results: null ids and null or empty texts stay as they are; rows of equal doc_id and text
 are one document and keep all or lose all the same lines; blank lines stay; documents shorter than
-RUN lines lose nothing; extra columns pass through; an empty table gives an empty one.
+RUN lines lose nothing; extra columns pass through (names that start with __pl_ are kept for this
+operator); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def _select(run):
 
 def later_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, text_hash and starts: the runs (by their first non-blank line) that occurred earlier."""
-    keyed = docs.where("doc_id is not null and text <> ''").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    chosen = keyed.mapInArrow(_select(run), "fp long, doc_id long, text_hash long, at int, runs array<long>")
+    keyed = C.texts(docs.where("doc_id is not null and text <> ''")).withColumn("text_hash", F.xxhash64("text"))
+    chosen = keyed.mapInArrow(C.tidy(_select(run)), "fp long, doc_id long, text_hash long, at int, runs array<long>")
     joined = chosen.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1")
     held = joined.select("fp", "doc_id", "text_hash", "at", F.posexplode("runs").alias("back", "run")).where("run <> 0").select("fp", "run", "doc_id", "text_hash", (F.col("at") - F.col("back")).alias("at"))
     place = F.struct("doc_id", "text_hash", "at")
@@ -92,9 +93,9 @@ def delete_lines(text: str, starts: list[int], run: int) -> str:
     return "\n".join(out)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Every document, its repeated runs deleted, with ``removed_lines``; all other columns as they were."""
-    gone = later_runs(docs, run).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
+def _cut(docs: DataFrame, run: int) -> DataFrame:
+    """Every document, its repeated runs deleted, with __pl_removed."""
+    gone = later_runs(docs, run).select(F.col("doc_id").alias("__pl_id"), F.col("text_hash").alias("__pl_hash"), F.col("starts").alias("__pl_starts"))
 
     @F.arrow_udf("struct<text string, removed int>")
     def cut(text: pa.Array, starts: pa.Array) -> pa.Array:
@@ -103,26 +104,33 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
             if s.is_valid:
                 old = t.as_py()
                 new = delete_lines(old, s.as_py(), run)
-                out.append({"text": new, "removed": len(C_lines(old)) - len(C_lines(new))})
+                out.append({"text": new, "removed": full_lines(old) - full_lines(new)})
             else:
                 out.append(None)
+        C.release()
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int32())]))
 
-    both = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("doc_id")) & (F.col("__hash") == F.col("__key")), "left")
-    both = both.withColumn("__cut", cut(F.when(F.col("__starts").isNotNull(), F.col("text")), F.col("__starts")))
-    kept = [F.coalesce("__cut.text", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return both.select(*kept, F.coalesce("__cut.removed", F.lit(0)).alias("removed_lines"))
+    keyed = docs.withColumn("__pl_key", F.xxhash64("text"))
+    both = keyed.join(gone.hint("shuffle_hash"), (F.col("__pl_id") == keyed["doc_id"]) & (F.col("__pl_hash") == F.col("__pl_key")), "left")
+    both = both.withColumn("__pl_cut", cut(F.when(F.col("__pl_starts").isNotNull(), F.col("text")), F.col("__pl_starts")))
+    kept = [F.coalesce("__pl_cut.text", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*kept, F.coalesce("__pl_cut.removed", F.lit(0)).alias("__pl_removed"))
+
+
+def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """Every document, its repeated runs deleted, with ``removed_lines`` (in place of a column of that name); all other columns as they were."""
+    return _cut(docs, run).select(*[F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"], F.col("__pl_removed").alias("removed_lines"))
 
 
-def C_lines(text: str) -> list[str]:
-    return [x for x in text.split("\n") if x.strip(BLANK)]
+def full_lines(text: str) -> int:
+    return sum(bool(x.strip(BLANK)) for x in text.split("\n"))
 
 
 def filter_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents without their repeated runs; one that has lost its every line goes. The columns stay; n_chars follows the text."""
-    out = dedup_lines(docs, run).where(~((F.col("removed_lines") > 0) & (F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == "")))
+    out = _cut(docs, run).where(~((F.col("__pl_removed") > 0) & (F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__pl_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
