@@ -72,14 +72,14 @@ class Net:
     def responses(self, vectors: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
         """Every row's largest response of each filter, all windows' responses by width, where the rows' windows lie, and the padded words."""
         n = len(first) - 1
-        # two empty words stand after each text, so that any has a window of any width
-        pad = max(WIDTHS) - 1
-        size = np.diff(first) + pad
+        # two empty words stand after each text, a third for one without words, so that any has a window of any width
+        pad, count = max(WIDTHS) - 1, np.diff(first)
+        size = np.maximum(count, 1) + pad
         at = np.cumsum(size) - size
         padded = np.full(int(size.sum()), len(vectors), np.int64)
-        padded[C.ragged(at, size - pad)] = word
+        padded[C.ragged(at, count)] = word
         known = np.vstack([vectors, np.zeros((1, DIM), np.float32)])
-        edge = np.stack([at, at + np.maximum(size - pad, 1)], 1)  # windows begin at a text's words, or at its first place
+        edge = np.stack([at, at + size - pad], 1)  # windows begin at a text's words, or at its first place
         top, every = np.empty((n, N_FILTERS), np.float32), []
         for k, (width, kernel) in enumerate(zip(WIDTHS, self.kernels)):
             r = known @ kernel[0]
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """Trained and calibrated on the ``sample`` labelled documents of the least hashes of doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
     chosen = known.orderBy("h", "doc_id", "y").limit(sample)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang").toArrow()
+    rows = C.texts(docs, "lang").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
     y = rows.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
@@ -240,7 +240,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             lang = C.column(b, "lang")
             yield pa.record_batch([C.column(b, "doc_id"), lang, pa.array(s), pa.array(net.toxic(s, lang.to_pylist()))], ["doc_id", "lang", "score", "toxic"])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, SCHEMA)
+    return C.texts(docs, "lang").mapInArrow(C.tidy(run), SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
