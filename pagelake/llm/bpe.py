@@ -327,7 +327,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             columns = [C.column(b, "doc_id"), pa.array(n.astype(np.int32), mask=~valid), C.list_array(ids, n, pa.int32(), valid), C.list_array(slices.astype(np.int32), m, pa.int32(), valid), pa.array(exact, mask=~valid)]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "slices", "exact"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return C.texts(docs).mapInArrow(C.tidy(run), SCHEMA)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -340,7 +340,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             text = [vocab.decode(np.asarray(x.values, np.int64)).tobytes().decode("utf-8", "replace") if x.is_valid else None for x in ids]
             yield pa.record_batch([C.column(b, "doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(C.tidy(run), "doc_id long, text string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

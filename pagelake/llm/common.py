@@ -6,16 +6,19 @@ Text is worked on as the contiguous byte buffer of an Arrow batch, cut into sub-
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SUB_BYTES = 1 << 20
+SUB_BYTES = 1 << 19
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -24,6 +27,7 @@ BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +62,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (as long), text and more columns, on their way to Python.
+
+    Rows of text are large: where the session has Spark's default of 10,000 rows an Arrow batch, it is lowered to 1,000.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as a Python worker lives on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The function over a partition's batches, with its memory given back at the end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: for a plain scan, the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

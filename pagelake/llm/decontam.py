@@ -208,7 +208,7 @@ def _search(docs: DataFrame, items: list[tuple]) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "edits", "pieces", "start", "end"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return C.texts(docs).mapInArrow(C.tidy(run), SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -225,6 +225,7 @@ def _clean(items: list[tuple]):
             ok = np.ones(b.num_rows, bool)
             ok[index.leaks(*C.text_bytes(b.column(0)))[0]] = False
             out.append(ok)
+        C.release()
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return clean

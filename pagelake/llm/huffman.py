@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
             n = np.diff(np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, off)])
             yield pa.record_batch([C.column(b, "doc_id"), C.binary_array(ids.astype(np.uint16).view(np.uint8), 2 * n, np.asarray(text.is_valid()))], ["doc_id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return C.texts(docs).mapInArrow(C.tidy(run), "doc_id long, packed binary")
 
 
 def fit(packed: DataFrame, size: int = 1 << 16, most: int = MAX_BITS) -> Code:
@@ -178,7 +178,7 @@ def encode(packed: DataFrame, code: Code) -> DataFrame:
             columns = [C.column(b, "doc_id"), pa.array(n.astype(np.int32), mask=~valid), pa.array(total, mask=~valid), C.binary_array(data, size_bytes, valid), C.list_array(inside[first].astype(np.int32), per, pa.int32(), valid), pa.array(exact, mask=~valid)]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "n_bits", "bits", "checkpoints", "exact"])
 
-    return packed.select("doc_id", "packed").mapInArrow(run, SCHEMA)
+    return packed.select("doc_id", "packed").mapInArrow(C.tidy(run), SCHEMA)
 
 
 def decode(coded: DataFrame, code: Code) -> DataFrame:
@@ -193,7 +193,7 @@ def decode(coded: DataFrame, code: Code) -> DataFrame:
                 ids.append(None if bits is None else own.decode(np.frombuffer(bits, np.uint8), np.array(marks, np.int64), np.minimum(BLOCK, n - BLOCK * np.arange(len(marks)))))
             yield pa.record_batch([C.column(b, "doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return coded.select("doc_id", "n_tokens", "bits", "checkpoints").mapInArrow(run, "doc_id long, ids array<int>")
+    return coded.select("doc_id", "n_tokens", "bits", "checkpoints").mapInArrow(C.tidy(run), "doc_id long, ids array<int>")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

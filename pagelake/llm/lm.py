@@ -96,10 +96,10 @@ def _merge(batches):
 def count(docs: DataFrame) -> np.ndarray:
     """Counts of all n-grams of order four, of the training and of the held-out documents: two rows of 2**24."""
     schema = "kind int, slot int, seen binary, n binary"
-    texts = docs.where("text is not null").select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"))
+    texts = C.texts(docs.where("text is not null")).select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"))
     spread = min(CELLS >> SLOT_BITS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = np.zeros((2, CELLS >> SLOT_BITS, 1 << SLOT_BITS), np.int64)
-    for row in texts.mapInArrow(_counts, schema).repartition(spread, "slot").mapInArrow(_merge, schema).toLocalIterator():
+    for row in texts.mapInArrow(C.tidy(_counts), schema).repartition(spread, "slot").mapInArrow(C.tidy(_merge), schema).toLocalIterator():
         total[row.kind, row.slot, np.frombuffer(row.seen, np.uint32)] = np.frombuffer(row.n, np.int64)
     return total.reshape(2, CELLS)
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             perplexity = np.exp(-total / np.maximum(n, 1))
             yield pa.record_batch([C.column(b, "doc_id"), pa.array(n.astype(np.int32), mask=null), pa.array(total, mask=null), pa.array(perplexity, mask=null | (n == 0))], ["doc_id", "n_symbols", "log_prob", "perplexity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return C.texts(docs).mapInArrow(C.tidy(run), SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,7 +429,7 @@ def describe(audio: DataFrame) -> DataFrame:
         for b in C.sub_batches(batches, "content"):
             yield _rows(C.column(b, "doc_id"), C.column(b, "content").to_pylist())
 
-    return audio.select("doc_id", "content").mapInArrow(run, SCHEMA)
+    return audio.select("doc_id", "content").mapInArrow(C.tidy(run), SCHEMA)
 
 
 def carried(docs: DataFrame) -> DataFrame:
@@ -440,7 +440,7 @@ def carried(docs: DataFrame) -> DataFrame:
             pairs = zip(C.column(b, "doc_id").to_pylist(), C.column(b, "text").to_pylist())
             yield pa.record_batch([C.column(b, "doc_id"), pa.array([None if t is None else mux(t.encode(), i or 0) for i, t in pairs], pa.binary())], ["doc_id", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")
+    return C.texts(docs).mapInArrow(C.tidy(run), "doc_id long, content binary")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

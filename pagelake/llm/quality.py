@@ -140,7 +140,7 @@ def _binned(model):
 
 def fit(docs: DataFrame, labels: DataFrame, ridge: float = 1e-3, held_out: int = 5) -> Model:
     """The model of the labelled documents; one in ``held_out`` is kept for the calibration."""
-    stats = docs.select("doc_id", "text").mapInArrow(_stats_batches, "doc_id long, x array<double>")
+    stats = C.texts(docs).mapInArrow(C.tidy(_stats_batches), "doc_id long, x array<double>")
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
     rows = C.checkpoint(stats.join(known, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0))
     head = rows.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y"), *[f(F.col("x")[i]) for i in range(N_STATS) for f in (F.avg, F.stddev_pop)], F.max("held"), F.min("held")).first()
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s, p = model.predict(statistics(*C.text_bytes(C.column(b, "text"))))
             yield pa.record_batch([C.column(b, "doc_id"), pa.array(s), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "score", "prob", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, prob double, keep boolean")
+    return C.texts(docs).mapInArrow(C.tidy(run), "doc_id long, score double, prob double, keep boolean")
 
 
 def filter_quality(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,6 +181,7 @@ def filter_quality(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("boolean")
     def keeps(text: pa.Array) -> pa.Array:
         parts = [model.predict(statistics(*C.text_bytes(C.column(b, "text"))))[1] >= 0.5 for b in C.sub_batches([pa.record_batch([text], ["text"])])]
+        C.release()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return docs.where(keeps(docs["text"]))

@@ -165,12 +165,12 @@ def width_bits(docs: DataFrame) -> int:
 def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int | None = None) -> DataFrame:
     """doc_id, span and first (doc_id and span) of every window that occurred earlier; a span is its start << 32 | its end, in characters."""
     bits = bits or width_bits(docs)
-    texts = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = C.texts(docs.where("doc_id is not null and text <> ''"))
     path = C.fresh_path(docs.sparkSession, "sketch")
-    touched = texts.mapInArrow(_sketch(size, bits), "part int, gaps binary, twice binary")
+    touched = texts.mapInArrow(C.tidy(_sketch(size, bits)), "part int, gaps binary, twice binary")
     spread = min(BLOCKS * ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = [r.part for r in touched.repartition(spread, "part").mapInArrow(_merge(path, bits), "part int").collect()]
-    found = texts.mapInArrow(_select(path, size, bits, parts), "h long, doc_id long, span long")
+    parts = [r.part for r in touched.repartition(spread, "part").mapInArrow(C.tidy(_merge(path, bits)), "part int").collect()]
+    found = texts.mapInArrow(C.tidy(_select(path, size, bits, parts)), "h long, doc_id long, span long")
     place = F.struct("doc_id", "span")
     return found.withColumn("first", F.min(place).over(W.partitionBy("h"))).where(F.col("first") != place).select("doc_id", "span", "first")
 
