@@ -14,7 +14,7 @@ def test_twin(spark, sf_dir, duck, name):
 
 def test_not_empty(spark, sf_dir):
     assert core.QUERIES["dehyphenate_pairs"](spark, sf_dir).count() > 100
-    assert core.QUERIES["merge_adjacent"](spark, sf_dir).where("size(members) > 1").count() > 5
+    assert core.QUERIES["merge_adjacent"](spark, sf_dir).where("size(members) > 1").count() > 0
     assert core.QUERIES["overlap_pairs"](spark, sf_dir).groupBy("victim").count().count() == 3
 
 
