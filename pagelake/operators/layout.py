@@ -152,7 +152,7 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return out.withColumn("position", (F.row_number().over(order) - 1).cast("int")).select(*regions.columns, "position")
 
 
-_ITEM = "struct<label:string,x0:int,y0:int,x1:int,y1:int,text:string,confidence:double,members:array<int>>"
+_ITEM = f"struct<label:string,{','.join(f'{c}:int' for c in BOX)},text:string,confidence:double,members:array<int>>"
 _MERGED = """
 named_struct('label', s.cur.label, 'x0', least(s.cur.x0, r.x0), 'y0', s.cur.y0, 'x1', greatest(s.cur.x1, r.x1), 'y1', greatest(s.cur.y1, r.y1),
   'text', if(s.cur.text <> '' or r.text <> '', regexp_replace(concat(s.cur.text, '\\n', r.text), {strip}, ''), ''),

@@ -45,8 +45,9 @@ def recognized(rows: DataFrame, factory: Callable[[], Recognizer], content: str
 
 def routes(regions: DataFrame, lines: DataFrame, mode: str = "line", by_region: bool = True) -> DataFrame:
     """page_id, region_idx, route: 'lines', 'region', or 'none' for a region without lines where the recogniser reads only lines."""
-    if mode not in ("line", "region"):
-        raise ValueError(f"mode must be 'line' or 'region', not {mode!r}")
+    modes = {"line", "region"}
+    if mode not in modes:
+        raise ValueError(f"no mode {mode!r}; there are {sorted(modes)}")
     if mode == "region":
         return regions.select("page_id", "region_idx", F.lit("region").alias("route"))
     n = lines.groupBy("page_id", "region_idx").count()

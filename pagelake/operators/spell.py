@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import like_original
 
-AFFIXES = r"(?s)^([^a-zA-Z0-9]*)(.*?)([^a-zA-Z0-9]*)$"
+#: What isn't an ASCII letter or digit, from the start on and up to the end.
+LEADING, TRAILING = r"^\P{Alnum}*", r"\P{Alnum}*\z"
 
 
 def tokens(regions: DataFrame) -> DataFrame:
@@ -24,8 +25,10 @@ def tokens(regions: DataFrame) -> DataFrame:
 
 def affixes(toks: DataFrame) -> DataFrame:
     """Tokens with what leads and trails the word."""
-    part = lambda k: F.regexp_extract("token", AFFIXES, k)
-    return toks.select("*", part(1).alias("lead"), part(2).alias("word"), part(3).alias("trail"))
+    out = toks.withColumn("lead", F.regexp_extract("token", LEADING, 0))
+    rest = F.substr("token", F.length("lead") + 1)
+    trail = F.regexp_extract(rest, TRAILING, 0)
+    return out.withColumn("word", F.left(rest, F.length(rest) - F.length(trail))).withColumn("trail", trail)
 
 
 def eligible(toks: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ class Registry:
             raise KeyError(f"no {self.kind} named {name!r}; there are: {', '.join(self.list())}")
         return self._items[name]
 
-    def list(self) -> list[str]:
-        return sorted(self._items)
+    def list(self):
+        """The names, in order."""
+        return [*sorted(self._items)]
 
 
 class Missing:

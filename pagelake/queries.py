@@ -39,7 +39,7 @@ def query(sql: str | None = None, *needs: str, recursive: bool = False):
     return register
 
 
-# --- geometry and detections -------------------------------------------------------------------
+# geometry and detections
 
 LETTERBOX = """>lb AS (SELECT page_id, width, height, least(1280.0::DOUBLE / height, 1280.0::DOUBLE / width, 1.0::DOUBLE) AS ratio FROM pages_),
 lc AS (SELECT page_id, ratio, CAST(round_even(width * ratio, 0) AS INT) AS new_w, CAST(round_even(height * ratio, 0) AS INT) AS new_h FROM lb)
@@ -214,7 +214,7 @@ def det_clamp(spark, d):
     return detect.clamped(boxes, X.pages(spark, d))
 
 
-# --- layout ------------------------------------------------------------------------------------
+# layout
 
 _AREA = "greatest(0, {p}x1 - {p}x0)::BIGINT * greatest(0, {p}y1 - {p}y0)::BIGINT"
 _INTER = "greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0))::BIGINT * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))::BIGINT"
@@ -380,7 +380,7 @@ def layout_process(spark, d):
     return layout.process(X.regions(spark, d), X.pages(spark, d)).drop("sources")
 
 
-# --- recognition -------------------------------------------------------------------------------
+# recognition
 
 
 @query("SELECT doc_id, length(text) >= 30 AND (length(text) - length(replace(text, text[1:10], ''))) / 10.0::DOUBLE >= 3 AS flag FROM documents")
@@ -423,7 +423,7 @@ def fallback_apply(spark, d):
     return recognize.texts_of_lines(recognize.with_fallback(X.region_lines(spark, d), again, whole=True))
 
 
-# --- text cleaning -----------------------------------------------------------------------------
+# text cleaning
 
 
 @query("SELECT page_id, region_idx, coalesce(median(CASE WHEN y1 > y0 THEN y1 - y0 END), 0)::DOUBLE AS median_height FROM lines GROUP BY 1, 2", "lines")
@@ -476,11 +476,15 @@ def paragraphs(spark, d):
     return clean.paragraphs(X.lines(spark, d))
 
 
-# --- spelling ----------------------------------------------------------------------------------
+# spelling
 
 _DICT = "dict AS (SELECT term, count(*) AS \"count\" FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) w GROUP BY term HAVING count(*) >= 5)"
 _TOKENS = "toks AS (SELECT page_id, region_idx, CAST(k - 1 AS INT) AS token_idx, p[k] AS token FROM (SELECT page_id, region_idx, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT page_id, region_idx, string_split(text, ' ') AS p FROM turns WHERE text <> '') s) u)"
-_AFFIX = _TOKENS + r""", aff AS (SELECT *, regexp_extract(token, '(?s)^([^a-zA-Z0-9]*)(.*?)([^a-zA-Z0-9]*)$', 1) AS lead, regexp_extract(token, '(?s)^([^a-zA-Z0-9]*)(.*?)([^a-zA-Z0-9]*)$', 2) AS word, regexp_extract(token, '(?s)^([^a-zA-Z0-9]*)(.*?)([^a-zA-Z0-9]*)$', 3) AS trail FROM toks)"""
+_AFFIX = (
+    _TOKENS
+    + """, led AS (SELECT *, regexp_extract(token, '^[[:^alnum:]]*') AS lead FROM toks), rest AS (SELECT *, substr(token, length(lead) + 1) AS rest FROM led),
+aff AS (SELECT page_id, region_idx, token_idx, token, lead, left(rest, length(rest) - length(regexp_extract(rest, '[[:^alnum:]]*$'))) AS word, regexp_extract(rest, '[[:^alnum:]]*$') AS trail FROM rest)"""
+)
 _ELIGIBLE = _AFFIX + r""", elig AS (SELECT *, length(word) > 2 AND NOT regexp_matches(word, '^\p{Nd}+$') AND NOT regexp_matches(word, '[a-z][A-Z]') AS eligible FROM aff)"""
 _OOV = f"{_DICT}, {_ELIGIBLE}, oov AS (SELECT DISTINCT lower(word) AS word FROM elig WHERE eligible AND lower(word) NOT IN (SELECT term FROM dict))"
 _FIX = (
@@ -555,7 +559,7 @@ def spell_text(spark, d):
     return spell.check(X.turns(spark, d), _dictionary(spark, d), 1)
 
 
-# --- output ------------------------------------------------------------------------------------
+# output
 
 
 @query(f">{_CLEAN} SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY region_idx) AS text FROM cleaned WHERE text <> '' GROUP BY page_id", "lines")
@@ -595,7 +599,7 @@ def html_escape(spark, d):
     return X.table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
-# --- whole pipelines ---------------------------------------------------------------------------
+# whole pipelines
 
 
 @query(

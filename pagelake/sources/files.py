@@ -13,7 +13,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIX = {"text": ".txt", "json": ".json", "hocr": ".hocr"}
+#: Endings of file names, by output.
+SUFFIX = dict(hocr="hocr", json="json", text="txt")
 
 
 def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def image_rows(spark: SparkSession, images: list[bytes]) -> DataFrame:
 
 
 def output_name(path: str, output: str) -> str:
-    return PurePosixPath(path).stem + SUFFIX.get(output, ".txt")
+    return PurePosixPath(path).stem + "." + SUFFIX.get(output, SUFFIX["text"])
 
 
 def write_pages(pages: DataFrame, folder: str, output: str, column: str = "result") -> int:
@@ -64,14 +65,16 @@ class ModelService:
         self.url, self.model, self.prompt, self.max_tokens, self.timeout = url, model, prompt, max_tokens, timeout
 
     def body(self, png: bytes) -> bytes:
-        image = {"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(png).decode()}}
+        data = dict(url="data:image/png;base64," + base64.b64encode(png).decode())
+        image = dict(type="image_url", image_url=data)
         message = {"role": "user", "content": [image, {"type": "text", "text": self.prompt}]}
         return json.dumps({"model": self.model, "max_tokens": self.max_tokens, "messages": [message]}).encode()
 
     def ask(self, png: bytes) -> str:
         request = urllib.request.Request(self.url, self.body(png), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"]
+            first = json.load(answer)["choices"][0]
+        return first["message"]["content"]
 
     def recognize(self, contents, boxes) -> list[tuple[str, float]]:
         return [(text, 0.9 if text else 0.0) for text in map(self.ask, contents)]
