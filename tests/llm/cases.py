@@ -41,7 +41,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-# --- plain versions ----------------------------------------------------------------------------
+# plain versions
 
 SPACE = " \t\n\r\v\f"
 
