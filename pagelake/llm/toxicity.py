@@ -2,7 +2,8 @@
 
 A word (a run of letters and digits, folded) is embedded as the sum of the rows that its hash and the
 hashes of its first 4, 5, 6, 7 and 9 bytes select from one table of 2**BUCKET_BITS;
-rows that fewer than MIN_DOCS training documents select stay zero. FILTERS filters of
+rows that fewer than MIN_DOCS training documents select stay zero; one dimension starts from the
+log-odds of toxicity. FILTERS filters of
 each width in WIDTHS slide over a text's words; the largest response of each, rectified, feeds a logistic
 output. Training uses Adagrad on at most ``sample`` labelled documents, those of the least hashes of doc_id; a
 quarter of them, by another hash, is held out, and there each language's threshold is set where F1 is
@@ -29,6 +30,8 @@ from .simhash import _WORD, fold
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 PREFIXES = (4, 5, 6, 7, 9)
+#: Share of the distinct words that a training batch leaves out, so that no word relies on others.
+DROPPED = 0.5
 #: At most so many labelled documents are fitted to.
 SAMPLE, EPOCHS, STEPS, BATCH, MIN_POSITIVE, MIN_DOCS = 12_000, 8, 600, 64, 8, 4
 SCHEMA = "doc_id long, lang string, score double, toxic boolean"
@@ -113,9 +116,9 @@ def fresh(seed: int = 5) -> Net:
     return Net(rng.normal(0, 0.3, (1 << BUCKET_BITS, DIM)).astype(np.float32), kernels, np.zeros(N_FILTERS, np.float32), rng.normal(0.3, 0.1, N_FILTERS).astype(np.float32), -2.0)
 
 
-def _documents(buckets: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many texts select each row of the table."""
-    n = np.zeros(1 << BUCKET_BITS, np.int64)
+def _documents(buckets: np.ndarray, word: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts, and how many toxic ones, select each row of the table."""
+    n, toxic = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
     for lo in range(0, len(first) - 1, 500):
         edge = first[lo : lo + 501]
         row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
@@ -123,8 +126,10 @@ def _documents(buckets: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.n
         row, own = pair // max(1, len(buckets)), pair % max(1, len(buckets))
         for k in range(buckets.shape[1]):
             chosen = np.unique(row << BUCKET_BITS | buckets[own, k])
-            n += np.bincount(chosen & ((1 << BUCKET_BITS) - 1), minlength=len(n))
-    return n
+            bucket = chosen & ((1 << BUCKET_BITS) - 1)
+            n += np.bincount(bucket, minlength=len(n))
+            toxic += np.bincount(bucket, y[lo + (chosen >> BUCKET_BITS)], len(n))
+    return n, toxic
 
 
 def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, seed: int = 5, steps: int = STEPS) -> Net:
@@ -133,7 +138,11 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
     rng = np.random.Generator(np.random.PCG64(seed + 1))
     buckets, word, first = word_buckets(texts)
     heavy = np.where(y > 0, min(8.0, 0.5 * (len(y) - y.sum()) / max(1, y.sum())) if len(y) else 1.0, 1.0)
-    frozen = _documents(buckets, word, first) < MIN_DOCS
+    among, toxic = _documents(buckets, word, first, y)
+    # one dimension starts from the log-odds of toxicity, so that telling words are the maxima from the first
+    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((among - toxic + 0.5) / (len(y) - y.sum() + 1))
+    net.table[:, 0] = 0.2 * np.clip(odds, -3, 3)
+    frozen = among < MIN_DOCS
     net.table[frozen] = 0
     epochs = max(epochs, -(-steps * BATCH // max(1, len(y))))
     parameters = [net.shift, net.out, *net.kernels]
@@ -147,7 +156,8 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
             size = first[rows + 1] - first[rows]
             words = word[C.ragged(first[rows], size)]
             own, local = np.unique(words, return_inverse=True)
-            vectors = net.embed(buckets[own])
+            there = rng.random(len(own)) >= DROPPED
+            vectors = net.embed(buckets[own]) * there[:, None].astype(np.float32)
             top, every, edge, padded = net.responses(vectors, local, np.concatenate([[0], np.cumsum(size)]))
             hidden = np.maximum(top + net.shift, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.bias, -30, 30)))
@@ -180,7 +190,7 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
                 value -= rate * grad / np.sqrt(square)
             bias_square += float(g.sum()) ** 2
             net.bias -= rate * float(g.sum()) / np.sqrt(bias_square)
-            touched = np.flatnonzero(np.any(g_known[:-1], 1))
+            touched = np.flatnonzero(np.any(g_known[:-1], 1) & there)
             at, of = buckets[own[touched]].ravel(), np.repeat(g_known[touched], buckets.shape[1], 0)
             at, of = at[~frozen[at]], of[~frozen[at]]
             rows_of, back = np.unique(at, return_inverse=True)
