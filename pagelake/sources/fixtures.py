@@ -41,14 +41,17 @@ _LINE = """
 SELECT page_id, CAST(k {div} 30 AS INT) AS region_idx, CAST(k % 30 AS INT) AS line_idx, CAST(20 * CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END AS INT) AS x0,
   CAST(22 * (k % 30) + 60 * ((k % 30) {div} 9) AS INT) AS y0, CAST(20 * CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END + 9 * length(t) AS INT) AS x1,
   CAST(22 * (k % 30) + 60 * ((k % 30) {div} 9) + 20 AS INT) AS y1, t AS text, CAST((page_id * 31 + k * 17) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence
-FROM (SELECT page_id, k, CASE WHEN {letter}(substr(t, k * 40 + 40, 1), '[A-Za-z]') AND {letter}(substr(t, k * 40 + 41, 1), '[A-Za-z]') THEN concat(substr(t, k * 40 + 1, 40), '-') ELSE substr(t, k * 40 + 1, 40) END AS t
-      FROM ({rows}) w) c"""
+FROM ({rows}) c"""
 #: Documents as pages: their text cut every forty characters, with a hyphen inside words, thirty lines a region.
 LINES_SPARK = _LINE.format(
-    div="div", letter="regexp_like", rows="SELECT page_id, t, explode(sequence(0L, (length(t) - 1) div 40)) AS k FROM (SELECT CAST(doc_id AS BIGINT) AS page_id, translate(text, chr(10), ' ') AS t FROM documents WHERE text <> '') d"
+    div="div",
+    rows=r"""SELECT page_id, CAST(k AS BIGINT) AS k, t FROM (SELECT CAST(doc_id AS BIGINT) AS page_id, regexp_extract_all(translate(text, chr(10), ' '), '(?s).{{1,40}}', 0) AS cut FROM documents WHERE text <> '') d
+LATERAL VIEW posexplode(transform(cut, (x, i) -> if(i + 1 < size(cut) AND regexp_like(x, '[A-Za-z]\\z') AND regexp_like(get(cut, i + 1), '^[A-Za-z]'), concat(x, '-'), x))) e AS k, t""",
 )
 LINES_DUCK = _LINE.format(
-    div="//", letter="regexp_matches", rows="SELECT page_id, t, unnest(range((length(t) - 1) // 40 + 1)) AS k FROM (SELECT CAST(doc_id AS BIGINT) AS page_id, replace(text, chr(10), ' ') AS t FROM documents WHERE text <> '') d"
+    div="//",
+    rows="""SELECT page_id, k, CASE WHEN regexp_matches(substr(t, k * 40 + 40, 1), '[A-Za-z]') AND regexp_matches(substr(t, k * 40 + 41, 1), '[A-Za-z]') THEN concat(substr(t, k * 40 + 1, 40), '-') ELSE substr(t, k * 40 + 1, 40) END AS t
+FROM (SELECT page_id, t, unnest(range((length(t) - 1) // 40 + 1)) AS k FROM (SELECT CAST(doc_id AS BIGINT) AS page_id, replace(text, chr(10), ' ') AS t FROM documents WHERE text <> '') d) w""",
 )
 
 #: Conversations as pages, their turns as regions.
