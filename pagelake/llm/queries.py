@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, huffman, lines, lm, media, quality, simhash, substring, toxicity
+from . import bpe, decontam, huffman, lines, media, ngrams, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1,
@@ -16,7 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_huffman_token_ids": huffman.op5,
     "op6_benchmark_decontamination": decontam.op6,
     "op7_quality_classifier": quality.op7,
-    "op8_deleted_interpolation": lm.op8,
+    "op8_deleted_interpolation": ngrams.op8,
     "op9_byte_level_bpe": bpe.op9,
     "op10_line_dedup": lines.op10,
 }
