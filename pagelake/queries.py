@@ -327,6 +327,12 @@ def column_gaps(spark, d):
     return layout.column_gaps(_thin(spark, d), X.pages(spark, d))
 
 
+@query(f">{_gaps_sql('regions')} SELECT * FROM gaps", "regions", "pages_")
+def column_gaps_whole(spark, d):
+    """As column_gaps, over every region of every page."""
+    return layout.column_gaps(X.regions(spark, d), X.pages(spark, d))
+
+
 def _order_sql(source: str, tag: str) -> str:
     return f"""{_columns_sql(source, tag)},
 hit{tag} AS (SELECT s.page_id, s.region_idx, c.col_idx, c.cr > c.cl AND least(s.x1::DOUBLE, c.cr) - greatest(s.x0::DOUBLE, c.cl) > (c.cr - c.cl) * 0.2::DOUBLE AS hit, abs(c.center - (s.x0 + s.x1) / 2.0::DOUBLE) AS far FROM {source} s JOIN cols{tag} c ON s.page_id = c.page_id),
@@ -364,6 +370,12 @@ def merge_adjacent(spark, d):
     return layout.merge_adjacent(layout.reading_order(_thin(spark, d)))
 
 
+@query(f">{_order_sql('regions', '')}, {_merge_sql('rd')} SELECT * FROM merged", "regions", recursive=True)
+def merge_adjacent_whole(spark, d):
+    """As merge_adjacent, over every region of every page."""
+    return layout.merge_adjacent(layout.reading_order(X.regions(spark, d)))
+
+
 @query("SELECT r.* FROM regions r LEFT JOIN (SELECT DISTINCT page_id, region_idx, true AS has FROM region_lines) l USING (page_id, region_idx) WHERE has OR label NOT IN ('text', 'paragraph_title', 'doc_title', 'figure_title')", "regions", "region_lines")
 def drop_empty(spark, d):
     return layout.drop_empty(X.regions(spark, d), X.region_lines(spark, d))
