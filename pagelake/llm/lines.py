@@ -155,3 +155,22 @@ lost AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM cut GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text, coalesce(n, 0) AS removed_lines
 FROM documents d LEFT JOIN left_over l ON d.doc_id = l.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id
 """
+
+
+def every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10 with runs of one line: each line that occurred earlier goes, however short its document."""
+    return dedup_lines(C.read(spark, sf_dir, "documents"), 1).select("doc_id", "text", "removed_lines")
+
+
+#: DuckDB SQL for every_line: non-blank lines that occurred earlier, by doc_id and position, go.
+EVERY_SQL = r"""
+WITH raw AS (SELECT doc_id, text, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
+             FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+full_lines AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM raw),
+cut AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM full_lines WHERE t <> '') WHERE k > 1),
+left_over AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.i) AS text FROM raw r LEFT JOIN cut c ON r.doc_id = c.doc_id AND r.i = c.i
+              WHERE c.i IS NULL GROUP BY r.doc_id),
+lost AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text, coalesce(n, 0) AS removed_lines
+FROM documents d LEFT JOIN left_over l ON d.doc_id = l.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id
+"""

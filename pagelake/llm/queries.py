@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_deleted_interpolation": ngrams.op8,
     "op9_byte_level_bpe": bpe.op9,
     "op10_line_dedup": lines.op10,
+    "line_dedup_every_line": lines.every_line,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op10_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op10_line_dedup": lines.SQL, "line_dedup_every_line": lines.EVERY_SQL}
