@@ -410,6 +410,12 @@ def repetition_truncate(spark, d):
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.without_repetition(doubled).alias("text"))
 
 
+@query()
+def repetition_truncate_documents(spark, d):
+    """Over documents' whole texts, periods of any length; no twin, as SQL would try every period of each text."""
+    return X.table(spark, d, "documents").select("doc_id", T.without_repetition(F.col("text")).alias("text"))
+
+
 @query("SELECT r.page_id, r.region_idx, CASE WHEN n > 0 THEN 'lines' ELSE 'region' END AS route FROM regions r LEFT JOIN (SELECT page_id, region_idx, count(*) AS n FROM region_lines GROUP BY 1, 2) l USING (page_id, region_idx)", "regions", "region_lines")
 def route_regions(spark, d):
     return recognize.routes(X.regions(spark, d), X.region_lines(spark, d))
