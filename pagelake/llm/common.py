@@ -73,6 +73,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Gives freed memory back to the system, as a Python worker lives on between tasks."""
     gc.collect()
@@ -211,6 +219,15 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - first, length)
 
 
+def blocks(cost: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows whose cost is at most the limit, one row at least."""
+    edge, lo = np.concatenate([[0], np.cumsum(cost)]), 0
+    while lo < len(cost):
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _validity(valid: np.ndarray | None) -> pa.Buffer | None:
     return None if valid is None or valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
 

@@ -135,7 +135,7 @@ def test_leaks_against_every_alignment():
 
     items = [(i, cases.prose(rng, rng.randint(1, 14))) for i in range(8)] + [(None, "null item id of some length"), (9, None), (10, "short")]
     index = decontam.Index(items)
-    docs = [cases.prose(rng, rng.randint(1, 12)) + " " + edit(t := items[rng.randrange(8)][1], rng.randint(0, max(1, len(t) // 7))) + " " + cases.prose(rng, rng.randint(1, 8)) for _ in range(40)] + ["", "a", None, items[0][1].upper().replace(" ", "\n")]
+    docs = [cases.prose(rng, rng.randint(1, 12)) + " " + edit(t := items[rng.randrange(8)][1], rng.randint(0, max(1, len(t) // 7))) + " " + cases.prose(rng, rng.randint(1, 8)) for _ in range(60)] + ["", "a", None, items[0][1].upper().replace(" ", "\n")]
     row, piece, edits, start, end = index.leaks(*C.text_bytes(pa.array(docs)))
     got: dict = {}
     for r, p, e in zip(row.tolist(), piece.tolist(), edits.tolist()):
