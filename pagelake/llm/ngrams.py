@@ -9,8 +9,9 @@ frequency (by powers of two). With these weights, estimates from all documents s
 No table of counts is ever in one place. Documents are worked on in units of about UNIT bytes, held out or
 not; a unit's distinct n-grams, as 56 bits of a hash, go to the part of the key space that they lie in,
 where the counts of all units are added up, and the sums go back to the units that hold the n-gram. A unit
-finds them in its file in the shared folder, in the order of its sorted keys. The mixture's weights and
-three sums are all that the driver sees.
+finds them in its file in the shared folder, in the order of its sorted keys. What it holds out lies in another
+file, equal rows of estimates once with their number, which every round of expectation-maximisation maps into
+memory. The mixture's weights and three sums are all that the driver sees.
 
 Defined results: a null text has null scores; one without words has no symbols, log-probability 0 and a
 null perplexity, and isn't counted; n_symbols counts the end; rows of a null doc_id count and are scored;
@@ -74,10 +75,11 @@ def keys_of(w: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[BEGIN], two])[:-1]  # the context of two: the last symbol's pair
     before[first] = BEGIN
     three = C.mix(before * C.MIX2 + w + BEGIN)
-    keys = np.stack([C.mix(w), two, three]) >> np.uint64(64 - KEY_BITS)
+    keys = np.stack([C.mix(w), two, three])
+    keys >>= np.uint64(64 - KEY_BITS)
     keys &= ~np.uint64(1)
     keys[0] |= np.uint64(1)
-    return keys.astype(np.int64), first
+    return keys.view(np.int64), first
 
 
 def units(batches, size: int):
@@ -110,7 +112,8 @@ def _send(parts, size):
 
     def send(batches):
         for unit, _, rows in units(batches, size):
-            keys = np.sort(keys_of(*sequence(rows))[0].ravel())
+            keys = keys_of(*sequence(rows))[0].ravel()
+            keys.sort()
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             n, keys = np.diff(np.append(new, len(keys))), keys[new]
             cut = np.searchsorted(keys, edges)
@@ -201,17 +204,15 @@ def estimates(rows: list[pa.RecordBatch], unit: int, counts: Counts, train: bool
     if not len(w):
         return np.zeros((0, ORDER + 1)), np.zeros(0, np.int64), size
     keys, first = keys_of(w, size)
-    order = np.argsort(keys.ravel())
-    key = keys.ravel()[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
+    key = np.sort(keys.ravel())
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     file = np.asarray(C.load(counts.path, f"unit-{unit}", np.uint8))
     n = int(file[:8].view(np.int64)[0])
-    if n != new.sum():
+    if n != len(key):
         raise ValueError("the documents came in another order than when they were counted")
     found = unpack(file[8:].tobytes(), n * (1 + (unit & 1)))[n * train :][:n]
-    c = np.empty(keys.size, np.int64)
-    c[order] = found[np.cumsum(new) - 1]
-    one, two, three = c.reshape(3, -1)
+    one, two, three = (found[np.searchsorted(key, x)] for x in keys)
+    del key, keys, found
     texts = one[np.flatnonzero(w == END)[0]]  # as often as a text ends, one begins
     before_two, before_three = (np.where(first, texts, np.concatenate([[0], x[:-1]])) for x in (one, two))
     p = np.stack([three / np.maximum(before_three, 1), two / np.maximum(before_two, 1), one / max(counts.train if train else counts.total, 1), np.full(len(w), 1 / counts.words)], 1)
@@ -223,45 +224,79 @@ def buckets(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
 
 
-def mass(bucket: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The shares of each estimate in the symbols' probabilities, summed by bucket."""
-    share = weights[bucket] * p
-    share /= share.sum(1, keepdims=True)
-    return np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(p.shape[1])], 1)
+NAMES = [f"p{k}" for k in range(ORDER + 1)]
 
 
-NAMES = [f"p{k}" for k in range(ORDER + 1)]
+def alike(bucket: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the buckets, the estimates in their order, equal rows once, and how often each row occurs."""
+    h = np.zeros(len(p), np.uint64)
+    for k in range(p.shape[1]):
+        h = C.mix(h * C.MIX1 + np.ascontiguousarray(p[:, k]).view(np.uint64))
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
+    p, bucket = p[order], bucket[order]
+    new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]).any(1)])) if len(p) else np.zeros(0, np.int64)
+    return np.searchsorted(bucket[new], np.arange(BUCKETS + 1)), p[new], np.diff(np.append(new, len(p))).astype(float)
 
 
-def held_out(docs: DataFrame, counts: Counts) -> DataFrame:
-    """Bucket and estimates, from the other documents, of every symbol held out."""
+def held_files(docs: DataFrame, counts: Counts) -> DataFrame:
+    """unit: those with documents held out, whose symbols' estimates from the other documents now lie in a file each."""
 
     def run(batches):
         for unit, _, rows in units(batches, counts.size):
             p, context, _ = estimates(rows, unit, counts, True)
-            for at in range(0, len(p), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.record_batch([pa.array(buckets(context[part]).astype(np.int32))] + [pa.array(p[part, k]) for k in range(ORDER + 1)], ["bucket", *NAMES])
+            edges, p, n = alike(buckets(context), p)
+            C.save(counts.path, f"held-{unit}", np.concatenate([edges.astype(float), n, p.ravel()]))
+            yield pa.record_batch([pa.array([unit], pa.int64())], ["unit"])
+
+    return C.written(prepared(docs).where("held").mapInArrow(C.tidy(run), "unit long"), "held-out")
+
+
+def load_held(counts: Counts, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    file = C.load(counts.path, f"held-{unit}", float)
+    edges = file[: BUCKETS + 1].astype(np.int64)
+    n = edges[-1]
+    return edges, file[BUCKETS + 1 :][n:].reshape(n, ORDER + 1), file[BUCKETS + 1 :][:n]
+
 
-    return prepared(docs).where("held").mapInArrow(C.tidy(run), "bucket int, " + ", ".join(f"{x} double" for x in NAMES))
+def held_out(docs: DataFrame, counts: Counts) -> DataFrame:
+    """Bucket and estimates, from the other documents, of every symbol held out."""
+
+    def run(batches):
+        for unit in itertools.chain.from_iterable(C.column(b, "unit").to_pylist() for b in batches):
+            edges, p, n = load_held(counts, unit)
+            bucket, n = np.repeat(np.arange(BUCKETS, dtype=np.int32), np.diff(edges)), n.astype(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(bucket, n))] + [pa.array(np.repeat(p[:, k], n)) for k in range(ORDER + 1)], ["bucket", *NAMES])
+
+    return held_files(docs, counts).mapInArrow(C.tidy(run), "bucket int, " + ", ".join(f"{x} double" for x in NAMES))
+
+
+def mass(edges: np.ndarray, p: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The shares of each estimate in the symbols' probabilities, summed by bucket."""
+    total = np.zeros((BUCKETS, p.shape[1]))
+    for b in np.flatnonzero(np.diff(edges)):
+        own = p[edges[b] : edges[b + 1]]
+        total[b] = weights[b] * (n[edges[b] : edges[b + 1]] / (own @ weights[b]) @ own)
+    return total
 
 
-def learn_weights(held: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights by bucket that make the held-out symbols likeliest, by expectation-maximisation."""
+def learn_weights(held: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights by bucket that make the held-out symbols likeliest, by expectation-maximisation over the units' files."""
     weights, seen = np.full((BUCKETS, ORDER + 1), 1 / (ORDER + 1)), np.zeros(BUCKETS, bool)
+    held = held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def step(weights):
         def run(batches):
             total = np.zeros((BUCKETS, ORDER + 1))
-            for b in batches:
-                total += mass(C.column(b, "bucket").to_numpy(), np.stack([C.column(b, x).to_numpy() for x in NAMES], 1), weights)
-            yield pa.record_batch([pa.array(range(BUCKETS), pa.int32())] + [pa.array(total[:, k]) for k in range(ORDER + 1)], ["bucket", *NAMES])
+            for unit in itertools.chain.from_iterable(C.column(b, "unit").to_pylist() for b in batches):
+                total += mass(*load_held(counts, unit), weights)
+            some = np.flatnonzero(total.sum(1))
+            yield pa.record_batch([pa.array(some.astype(np.int32))] + [pa.array(total[some, k]) for k in range(ORDER + 1)], ["bucket", *NAMES])
 
         return run
 
     for _ in range(rounds):
         total = np.zeros((BUCKETS, ORDER + 1))
-        for row in held.mapInArrow(step(weights), held.schema).collect():
+        for row in held.mapInArrow(step(weights), "bucket int, " + ", ".join(f"{x} double" for x in NAMES)).groupBy("bucket").agg(*[F.sum(x).alias(x) for x in NAMES]).collect():
             total[row.bucket] += row[1:]
         seen = total.sum(1) > 0
         weights[seen] = total[seen] / total[seen].sum(1, keepdims=True)
@@ -280,7 +315,7 @@ class Model:
 
 def fit(docs: DataFrame, size: int = UNIT) -> Model:
     counts = count(docs, size)
-    return Model(counts, learn_weights(C.written(held_out(docs, counts), "held-out")))
+    return Model(counts, learn_weights(held_files(docs, counts), counts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,7 +325,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for unit, _, rows in units(batches, counts.size):
             p, context, size = estimates(rows, unit, counts, False)
-            log = np.log((weights[buckets(context)] * p).sum(1))
+            log = np.concatenate([np.zeros(0), *(np.log((weights[buckets(context[k : k + (1 << 16)])] * p[k : k + (1 << 16)]).sum(1)) for k in range(0, len(p), 1 << 16))])
+            del p, context
             some, total = size > 0, np.zeros(len(size))
             if some.any():
                 total[some] = np.add.reduceat(log, (np.cumsum(size) - size)[some])
