@@ -87,20 +87,25 @@ def repeated_spans(rows, size: int) -> set[tuple]:
     return out
 
 
-def without_repeated_lines(rows, run: int) -> dict:
-    """Text by (doc_id, text) after deletion."""
+def without_repeated_lines(rows, words: int) -> dict:
+    """Text by (doc_id, text) after deletion of the least runs of lines with so many words that occurred earlier."""
     blank = " \t\r\v\f"
     places: dict = {}
     for i, t in {(r[0], r[1]) for r in rows if r[0] is not None and r[1]}:
         full = [x.strip(" \t\r\v\f") for x in t.split("\n") if x.strip(blank)]
-        for k in range(len(full) - run + 1):
-            places.setdefault(tuple(full[k : k + run]), []).append((i, k, t))
+        for k in range(len(full)):
+            run, n = 0, 0
+            while n < words and k + run < len(full):
+                n += len(split_words(full[k + run]))
+                run += 1
+            if n >= words:
+                places.setdefault(tuple(full[k : k + run]), []).append((i, k, t))
     gone: dict = {}
-    for found in places.values():
+    for run, found in places.items():
         first = min(found)[:2]
         for i, k, t in found:
             if (i, k) != first:
-                gone.setdefault((i, t), set()).update(range(k, k + run))
+                gone.setdefault((i, t), set()).update(range(k, k + len(run)))
     out = {}
     for (i, t), lost in gone.items():
         kept, k = [], 0

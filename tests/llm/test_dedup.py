@@ -50,11 +50,13 @@ def test_remove_repeats(spark):
             assert r.text == want + texts[r.doc_id][at:]
 
 
-@pytest.mark.parametrize("run", [2, 3])
-def test_line_dedup(spark, run):
-    rows = cases.nasty()
-    want = cases.without_repeated_lines(rows, run)
-    got = lines.dedup_lines(cases.frame(spark, rows), run)
+@pytest.mark.parametrize("words", [1, 2, lines.WORDS, 8])
+def test_line_dedup(spark, monkeypatch, words):
+    rows = cases.nasty() + [cases.row(700, "one\ntwo three"), cases.row(701, "one\ntwo three\nfour"), cases.row(702, "one\ntwo three\nfour five")]
+    want = cases.without_repeated_lines(rows, words)
+    if words == 2:
+        monkeypatch.setattr(lines, "FLUSH", 10)
+    got = lines.dedup_lines(cases.frame(spark, rows), words)
     assert got.columns.count("removed_lines") == 1
     got = got.collect()
     assert len(got) == len(rows)
@@ -67,21 +69,30 @@ def test_line_filter_keeps_columns_and_clean_documents(spark):
     frame = cases.frame(spark, rows)
     got = lines.filter_lines(frame)
     assert got.columns == frame.columns
-    want = cases.without_repeated_lines(rows, 3)
+    want = cases.without_repeated_lines(rows, lines.WORDS)
     clean = {r[0] for r in rows if (r[0], r[1]) not in want}
     assert clean <= {r.doc_id for r in got.collect()}
 
 
 def test_fingerprints_guarantee():
-    """Equal runs share a selected position, wherever they lie."""
+    """Equal runs with enough words share a selected line, wherever they lie."""
     rng = np.random.default_rng(1)
+    some = lambda n: (rng.integers(0, 1 << 60, n).astype(np.uint64), rng.integers(1, 4, n))
     for _ in range(50):
-        shared = rng.integers(0, 1 << 60, 3).astype(np.uint64)
-        a = np.concatenate([rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64), shared, rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64)])
-        b = np.concatenate([rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64), shared])
-        both = np.concatenate([a, b])
-        at, row, _ = lines.fingerprints(both, np.array([0, len(a), len(both)]), 3)
-        assert set(both[at[row == 0]]) & set(both[at[row == 1]])
+        shared, before, after, other = some(3), some(rng.integers(0, 5)), some(rng.integers(0, 5)), some(rng.integers(0, 5))
+        hashes, words = (np.concatenate(x) for x in zip(before, shared, after, other, shared))
+        cut = sum(len(x[0]) for x in (before, shared, after))
+        row, _, _, _, chosen = lines.fingerprints(hashes, words, np.array([0, cut, len(hashes)]), int(shared[1].sum()))
+        assert set(hashes[chosen[row == 0]]) & set(hashes[chosen[row == 1]]) & set(shared[0])
+
+
+def test_names_of_our_own_clash_with_none(spark):
+    rows = [(str(k), t, 1, 2, 3, 4, 5, 6, 7) for k, t in enumerate(["a b c d e f", "a b c d e f\nx", "x", "g h"])]  # ids are strings, too
+    names = ["key", "id", "mark", "spans", "cut", "lost", "__id"]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, " + ", ".join(f"{x} int" for x in names))
+    assert {r.doc_id: r.text for r in lines.filter_lines(frame).collect()} == {"0": "a b c d e f", "1": "x", "2": "x", "3": "g h"}
+    for op in (lines.filter_lines, simhash.filter_near_copies, substring.remove_repeats):
+        assert op(frame).columns == frame.columns and op(frame).count() > 2
 
 
 def edited(rng, text):

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from pagelake.llm import bpe, decontam, quality, simhash
+from pagelake.llm import bpe, decontam, lines, quality, simhash
 from pagelake.llm import common as C
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def plain_run(spark, rows, names, model, items):
     docs = [dict(zip(names, r)) for r in rows]
     keep = model.predict(quality.statistics(*C.text_bytes(pa.array([d["text"] for d in docs]))))[1] >= 0.5
     docs = [d for d, k in zip(docs, keep) if k]
-    cut = cases.without_repeated_lines([(d["doc_id"], d["text"]) for d in docs], 3)
+    cut = cases.without_repeated_lines([(d["doc_id"], d["text"]) for d in docs], lines.WORDS)
     left = []
     for d in docs:
         text = cut.get((d["doc_id"], d["text"]), d["text"])
