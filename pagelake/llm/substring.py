@@ -205,7 +205,8 @@ def repeats(docs: DataFrame, size: int = WINDOW, bits: int | None = None) -> Dat
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents, their repeated spans cut out of the text; all columns stay. Rows of one doc_id must have one text."""
-    spans = repeats(docs, size).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    own, cuts = C.unused(docs, "id"), C.unused(docs, "spans")
+    spans = repeats(docs, size).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -217,8 +218,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    both = docs.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
-    return both.select(*[F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    both = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(own), "left")
+    return both.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(cut("text", cuts)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
