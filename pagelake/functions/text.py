@@ -17,6 +17,10 @@ def starts_lower(text: Column) -> Column:
     return text.rlike(r"^\p{javaLowerCase}")
 
 
+def starts_upper(text: Column) -> Column:
+    return text.rlike(r"^\p{javaUpperCase}")
+
+
 def starts_digit(text: Column) -> Column:
     return text.rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]")
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import joins_hyphen, starts_digit, starts_lower, stripped
+from ..functions.text import joins_hyphen, starts_digit, starts_lower, starts_upper, stripped
+
+#: What ends a sentence.
+ENDS = (".", "!", "?", ":", ";")
 
 
 def region():
@@ -33,10 +36,13 @@ def glue(lines: DataFrame) -> DataFrame:
     out = out.withColumn("pw", F.max("x1").over(region()))
     out = out.withColumn("pt", F.last(F.nullif("t", F.lit("")), ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1)))
     gap, shift = F.col("y0") - F.lag("y1").over(order()), F.col("x0") - F.lag("x0").over(order())
+    ended = F.right(F.lag("t").over(order()), F.lit(1)).isin(*ENDS) & starts_upper(F.col("t"))
+    short = (F.lag("x1").over(order()) - F.lag("x0").over(order())) < F.lit(0.85) * F.col("pw")
     broken = ((F.col("mh") > 0) & (gap > F.lit(1.5) * F.col("mh"))) | ((F.col("pw") > 0) & (F.abs(shift) > F.lit(0.15) * F.col("pw"))) | ((F.col("mh") > 0) & (shift > F.col("mh")))
+    broken = F.coalesce(broken, F.lit(False)) | ((F.col("pw") > 0) & ended & short)
     out = out.withColumn("broken", F.coalesce(broken, F.lit(False)))
     out = out.withColumn("dehyphenated", F.coalesce(joins_hyphen(F.col("pt"), F.col("t")), F.lit(False)))
-    goes_on = ~F.right("pt", F.lit(1)).isin(".", "!", "?", ":", ";") & (starts_lower(F.col("t")) | starts_digit(F.col("t")))
+    goes_on = ~F.right("pt", F.lit(1)).isin(*ENDS) & (starts_lower(F.col("t")) | starts_digit(F.col("t")))
     out = out.withColumn("continued", F.coalesce(goes_on, F.lit(False)))
     joint = F.when(F.col("pt").isNull(), "").when(F.col("dehyphenated"), "").when(F.col("continued") & ~F.col("broken"), " ").otherwise("\n\n")
     return out.withColumn("glue", F.when(F.col("t") != "", joint))

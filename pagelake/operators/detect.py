@@ -118,7 +118,7 @@ def stitch_lines(lines: DataFrame, regions: DataFrame, iou: float = 0.15) -> Dat
     size = regions.select("page_id", "region_idx", F.floor((F.col("x1") - F.col("x0")) * 1.5).cast("int").alias("stride"))
     placed = lines.join(size, ["page_id", "region_idx"])
     shift = F.col("chunk_idx") * F.col("stride")
-    key = F.col("chunk_idx") * 100_000 + F.col("line_no")
+    key = F.col("chunk_idx").cast("long") * (1 << 32) + F.col("line_no")
     moved = placed.select(F.struct("page_id", "region_idx").alias("page_id"), key.alias("anchor_idx"), F.col("x0").cast("double"), (F.col("y0") + shift).cast("double").alias("y0"), F.col("x1").cast("double"), (F.col("y1") + shift).cast("double").alias("y1"), "score")
     kept = suppress(moved, iou, 1 << 30, by_class=False)
     number = F.row_number().over(W.partitionBy("page_id").orderBy("y0", F.desc("score"), "anchor_idx")) - 1

@@ -63,14 +63,12 @@ def as_json(nested: DataFrame, indent: int | None = None) -> DataFrame:
     return out.withColumn("json", laid_out("json"))
 
 
-_W3 = "http://www.w3.org"
-_XHTML = ("XHTML 1.0 Transitional", f"{_W3}/TR/xhtml1/DTD/xhtml1-transitional.dtd")
-#: Declaration, document type, and what opens the body.
+#: Declaration, document type, and what opens the body: fixed by the format.
 HOCR_HEAD = (
-    '<?xml version="{}" encoding="{}"?>'.format("1.0", "UTF-8"),
-    f'<!DOCTYPE html PUBLIC "-//W3C//DTD {_XHTML[0]}//EN" "{_XHTML[1]}">',
-    f'<html xmlns="{_W3}/1999/xhtml">',
-    "".join(f"<{x}>" for x in ("head", "title")) + "OCR Output" + "".join(f"</{x}>" for x in ("title", "head")),
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">',
+    '<html xmlns="http://www.w3.org/1999/xhtml">',
+    "<head><title>OCR Output</title></head>",
     "<body>",
 )
 

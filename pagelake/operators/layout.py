@@ -128,8 +128,10 @@ def column_gaps(regions: DataFrame, pages: DataFrame, least: int = 80) -> DataFr
 def fill_gaps(regions: DataFrame, pages: DataFrame, least: int = 80) -> DataFrame:
     """The regions, then a text region of no confidence for every gap; numbered anew."""
     gaps = column_gaps(regions, pages, least)
-    new = gaps.select("page_id", (F.lit(1 << 20) + F.row_number().over(page().orderBy("col_idx", "gap_no"))).cast("int").alias("region_idx"), F.lit("text").alias("label"), *BOX, F.lit("").alias("text"), F.lit(0.0).alias("confidence"))
-    return renumbered(regions.select(*new.columns, *[c for c in regions.columns if c not in new.columns]).unionByName(new, allowMissingColumns=True), "region_idx")
+    at = W.partitionBy("page_id").orderBy("col_idx", "gap_no")
+    new = gaps.select("page_id", F.row_number().over(at).alias("region_idx"), F.lit("text").alias("label"), *BOX, F.lit("").alias("text"), F.lit(0.0).alias("confidence"), F.lit(1).alias("__after"))
+    both = regions.withColumn("__after", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    return renumbered(both, "__after", "region_idx").drop("__after")
 
 
 def reading_order(regions: DataFrame) -> DataFrame:

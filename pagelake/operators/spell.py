@@ -7,6 +7,7 @@ optimal string alignment (transpositions count once).
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -51,32 +52,71 @@ def deletions(words: DataFrame, column: str, distance: int) -> DataFrame:
     return out
 
 
-def _osa(a: str, b: str, most: int) -> int:
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [0] * (len(b) + 1), list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
+def _distances(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Optimal string alignment distances, up to ``most``, of pairs whose lengths differ by at most that: bands of the table, all pairs at once."""
+    n, m = (np.array([len(x) for x in s]) for s in (a, b))
+    height = int(n.max(initial=0))
+    codes = [np.full((len(a), height + most + 2), -1 - k, np.int32) for k in range(2)]
+    for s, code in zip((a, b), codes):
+        for r, x in enumerate(s):
+            code[r, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.int32)
+    one, two = codes
+    width, far = 2 * most + 1, most + 1
+    # row i of the table on the diagonals from -most to most: column k is place i + k - most of b
+    last = np.where(np.arange(width) >= most, np.arange(width) - most, far) + np.zeros((len(a), 1), np.int32)
+    before, found = np.full_like(last, far), np.full(len(a), far)
+    done = n == 0
+    found[done] = last[done, (m + most)[done]]
+    for i in range(1, height + 1):
+        row = np.full_like(last, far)
+        for k in range(max(0, most - i), width):
+            j = i + k - most
+            if j == 0:
+                row[:, k] = i
+                continue
+            d = last[:, k] + (one[:, i - 1] != two[:, j - 1])
+            if k + 1 < width:
+                d = np.minimum(d, last[:, k + 1] + 1)
+            if k:
+                d = np.minimum(d, row[:, k - 1] + 1)
+            if i > 1 and j > 1:
+                swap = (one[:, i - 1] == two[:, j - 2]) & (one[:, i - 2] == two[:, j - 1])
+                d = np.where(swap, np.minimum(d, before[:, k] + 1), d)
+            row[:, k] = d
         before, last = last, row
-    return last[-1]
+        done = n == i
+        found[done] = row[done, (m - i + most)[done]]
+    return found
+
+
+def _osa(a: str, b: str, most: int) -> int:
+    return most + 1 if abs(len(a) - len(b)) > most else int(_distances([a], [b], most)[0])
 
 
 def nearest(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:
-    """word, term, distance: the closest term within ``distance``, of several the most frequent, of these the first by name."""
+    """word, term, distance: the closest term within ``distance``, of several the most frequent, of these the first by name.
+
+    Edits are counted by the built-in Levenshtein distance; only pairs that swapped neighbours could bring within reach are aligned in Python.
+    """
 
     @F.arrow_udf("int")
-    def measure(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_osa(x, y, distance) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+    def swapped(a: pa.Array, b: pa.Array) -> pa.Array:
+        some = np.flatnonzero(np.asarray(a.is_valid()))
+        out, pick = np.full(len(a), distance + 1), pa.array(some)
+        left, right = a.take(pick).to_pylist(), b.take(pick).to_pylist()
+        order = np.argsort([len(x) for x in left], kind="stable") if len(some) else some
+        for k in range(0, len(order), 2048):
+            which = order[k : k + 2048]
+            out[some[which]] = _distances([left[j] for j in which], [right[j] for j in which], distance)
+        return pa.array(out, pa.int32())
 
     left = deletions(words.select("word"), "word", distance)
     right = deletions(dictionary.select("term", "count"), "term", distance)
     pairs = left.join(right, "rest").where(F.abs(F.length("word") - F.length("term")) <= distance).select("word", "term", "count").distinct()
-    near = pairs.withColumn("distance", measure("word", "term")).where(F.col("distance") <= distance)
+    edits = F.levenshtein("word", "term", 2 * distance)
+    open_ = F.col("edits").between(2, 2 * distance)
+    near = pairs.withColumn("edits", edits).withColumn("swaps", swapped(F.when(open_, F.col("word")), F.when(open_, F.col("term"))))
+    near = near.withColumn("distance", F.when(open_, F.col("swaps")).otherwise(F.col("edits"))).where(F.col("distance").between(0, distance))
     rank = F.row_number().over(W.partitionBy("word").orderBy("distance", F.desc("count"), "term"))
     return near.withColumn("rank", rank).where("rank = 1").select("word", "term", "distance")
 

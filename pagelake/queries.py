@@ -313,23 +313,8 @@ gaps{tag} AS (SELECT page_id, col_idx, CAST(gap_no AS INT) AS gap_no, CAST(trunc
   WHERE least((height - 20)::DOUBLE, bot + (bot - top) * 0.15::DOUBLE) - bot >= 80)"""
 
 
-# every fourth region only, so that the columns have gaps
-_THIN = "thin AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY region_idx) - 1 AS INT) AS region_idx, label, x0, y0, x1, y1, text, confidence FROM regions WHERE region_idx % 4 = 0)"
-
-
-def _thin(spark, d):
-    """Regions of a sparser page: the layout of a page that a detector saw only in part."""
-    return layout.renumbered(X.regions(spark, d).where("region_idx % 4 = 0"), "region_idx")
-
-
-@query(f">{_THIN}, {_gaps_sql('thin')} SELECT * FROM gaps", "regions", "pages_")
-def column_gaps(spark, d):
-    return layout.column_gaps(_thin(spark, d), X.pages(spark, d))
-
-
 @query(f">{_gaps_sql('regions')} SELECT * FROM gaps", "regions", "pages_")
-def column_gaps_whole(spark, d):
-    """As column_gaps, over every region of every page."""
+def column_gaps(spark, d):
     return layout.column_gaps(X.regions(spark, d), X.pages(spark, d))
 
 
@@ -365,14 +350,8 @@ mg AS (SELECT page_id, CAST(k - 1 AS INT) AS region_idx, done[k] AS m FROM (SELE
 merged AS (SELECT page_id, region_idx, m.label AS label, m.x0 AS x0, m.y0 AS y0, m.x1 AS x1, m.y1 AS y1, m.text AS text, m.confidence AS confidence, m.members AS members FROM mg)"""
 
 
-@query(f">{_THIN}, {_order_sql('thin', '')}, {_merge_sql('rd')} SELECT * FROM merged", "regions", recursive=True)
-def merge_adjacent(spark, d):
-    return layout.merge_adjacent(layout.reading_order(_thin(spark, d)))
-
-
 @query(f">{_order_sql('regions', '')}, {_merge_sql('rd')} SELECT * FROM merged", "regions", recursive=True)
-def merge_adjacent_whole(spark, d):
-    """As merge_adjacent, over every region of every page."""
+def merge_adjacent(spark, d):
     return layout.merge_adjacent(layout.reading_order(X.regions(spark, d)))
 
 
@@ -401,18 +380,12 @@ def repetition_flag(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, trim(CASE WHEN n IS NULL THEN text ELSE text[1:n] END, {_CHARS}) AS text
-FROM (SELECT doc_id, text, (SELECT min(n) FROM range(10, CAST(least(length(text) // 2, 40000) AS BIGINT) + 1) t(n) WHERE text[1:n] = text[n + 1:2 * n]) AS n FROM (SELECT conv_id * 1000 + turn AS doc_id, concat(left(text, 40), left(text, 40), text) AS text FROM conversations) d) x"""
+    f"""WITH some AS (SELECT doc_id, text FROM documents WHERE position(text[1:10] IN text[11:]) > 0),
+tried AS (SELECT doc_id, text, unnest(range(10, length(text) // 2 + 1)) AS n FROM some),
+found AS (SELECT doc_id, min(n) AS n FROM tried WHERE text[n + 1:n + 10] = text[1:10] AND text[1:n] = text[n + 1:2 * n] GROUP BY doc_id)
+SELECT doc_id, trim(CASE WHEN n IS NULL THEN text ELSE text[1:n] END, {_CHARS}) AS text FROM documents LEFT JOIN found USING (doc_id)"""
 )
 def repetition_truncate(spark, d):
-    turns = X.table(spark, d, "conversations")
-    doubled = F.concat(F.left("text", F.lit(40)), F.left("text", F.lit(40)), F.col("text"))
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.without_repetition(doubled).alias("text"))
-
-
-@query()
-def repetition_truncate_documents(spark, d):
-    """Over documents' whole texts, periods of any length; no twin, as SQL would try every period of each text."""
     return X.table(spark, d, "documents").select("doc_id", T.without_repetition(F.col("text")).alias("text"))
 
 
@@ -455,8 +428,9 @@ def semantic_dash(spark, d):
 
 
 _GLUE = rf"""tr AS (SELECT *, trim(text, {_CHARS}) AS t, coalesce(median(CASE WHEN y1 > y0 THEN y1 - y0 END) OVER (PARTITION BY page_id, region_idx), 0)::DOUBLE AS mh, max(x1) OVER (PARTITION BY page_id, region_idx) AS pw FROM lines),
-pv AS (SELECT *, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY page_id, region_idx ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt, y0 - lag(y1) OVER o AS gap, x0 - lag(x0) OVER o AS shift FROM tr WINDOW o AS (PARTITION BY page_id, region_idx ORDER BY line_idx)),
-fl AS (SELECT *, coalesce((mh > 0 AND gap > 1.5::DOUBLE * mh) OR (pw > 0 AND abs(shift) > 0.15::DOUBLE * pw) OR (mh > 0 AND shift > mh), false) AS broken,
+pv AS (SELECT *, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY page_id, region_idx ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt, y0 - lag(y1) OVER o AS gap, x0 - lag(x0) OVER o AS shift, lag(t) OVER o AS lt, lag(x1) OVER o - lag(x0) OVER o AS lw FROM tr WINDOW o AS (PARTITION BY page_id, region_idx ORDER BY line_idx)),
+fl AS (SELECT *, coalesce((mh > 0 AND gap > 1.5::DOUBLE * mh) OR (pw > 0 AND abs(shift) > 0.15::DOUBLE * pw) OR (mh > 0 AND shift > mh), false)
+    OR coalesce(pw > 0 AND lt[-1:] IN ('.', '!', '?', ':', ';') AND regexp_matches(t, '^\p{{Lu}}') AND lw < 0.85::DOUBLE * pw, false) AS broken,
   coalesce(pt LIKE '%-' AND NOT (pt LIKE '%—' OR pt LIKE '%--' OR pt LIKE '% -') AND regexp_matches(t, '^[\p{{Ll}}ªº]'), false) AS dehyphenated,
   coalesce(pt[-1:] NOT IN ('.', '!', '?', ':', ';') AND regexp_matches(t, '^[\p{{Ll}}ªº\p{{Nd}}²³¹⁰⁴-⁹₀-₉]'), false) AS continued FROM pv),
 gl AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN pt IS NULL OR dehyphenated THEN '' WHEN continued AND NOT broken THEN ' ' ELSE chr(10) || chr(10) END AS glue FROM fl),
@@ -559,12 +533,12 @@ def spell_correct_d2(spark, d):
 
 
 @query(
-    r"""SELECT conv_id, turn, CASE WHEN o = upper(o) AND o <> lower(o) THEN 'RECEIVED' WHEN regexp_matches(o[1:1], '^\p{Lu}') AND o[2:] = lower(o[2:]) AND o[2:] <> upper(o[2:]) THEN 'Received' WHEN o = lower(o) AND o <> upper(o) THEN 'received' ELSE 'Received' END AS corrected
-FROM (SELECT conv_id, turn, string_split(text, ' ')[1] AS o FROM conversations) c"""
+    r"""SELECT conv_id, turn, CAST(k - 1 AS INT) AS token_idx, CASE WHEN o = upper(o) AND o <> lower(o) THEN 'RECEIVED' WHEN regexp_matches(o[1:1], '^\p{Lu}') AND o[2:] = lower(o[2:]) AND o[2:] <> upper(o[2:]) THEN 'Received' WHEN o = lower(o) AND o <> upper(o) THEN 'received' ELSE 'Received' END AS corrected
+FROM (SELECT conv_id, turn, p[k] AS o, k FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS p FROM conversations) a) b) c"""
 )
 def spell_case(spark, d):
-    rows = X.table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ")[0].alias("o"))
-    return rows.select("conv_id", "turn", T.like_original(F.col("o"), F.lit("Received")).alias("corrected"))
+    rows = X.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("token_idx", "o"))
+    return rows.select("conv_id", "turn", "token_idx", T.like_original(F.col("o"), F.lit("Received")).alias("corrected"))
 
 
 @query(f">{_FIX} SELECT page_id, region_idx, token_idx, token AS original, corrected FROM fixed WHERE token <> corrected", "turns")

@@ -19,10 +19,16 @@ SUFFIX = dict(hocr="hocr", json="json", text="txt")
 
 def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
     """ord (the place in ``paths``), path, content; files that aren't there raise when the scan is planned."""
-    order = spark.createDataFrame(list(enumerate(paths)), "ord int, given string")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    name = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-    return files.join(F.broadcast(order), name(F.col("path")).endswith(F.col("given")) | (name(F.col("path")) == name(F.col("given")))).select("ord", "path", "content")
+    order = spark.createDataFrame([(k, qualified(spark, p)) for k, p in enumerate(paths)], "ord int, path string")
+    files = spark.read.format("binaryFile").load(sorted(set(paths))).select("path", "content")
+    return files.join(order, "path").select("ord", "path", "content")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the file source names it: with its file system, and absolute."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return at.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
 
 def image_rows(spark: SparkSession, images: list[bytes]) -> DataFrame:

@@ -5,7 +5,7 @@ from pagelake.sources import fixtures as X
 
 
 def test_every_region_is_merged(spark, sf_dir):
-    merged = core.QUERIES["merge_adjacent_whole"](spark, sf_dir)
+    merged = core.QUERIES["merge_adjacent"](spark, sf_dir)
     members = merged.selectExpr("page_id", "explode(members) AS region_idx")
     regions = X.regions(spark, sf_dir)
     assert members.count() == regions.count() and merged.where("size(members) > 1").count() > 0
@@ -13,6 +13,6 @@ def test_every_region_is_merged(spark, sf_dir):
 
 
 def test_gaps_of_whole_pages(spark, sf_dir):
-    assert {"column_gaps_whole", "merge_adjacent_whole"} <= set(core.ORACLE_SQL)
-    assert not any("% 4" in core.ORACLE_SQL[f"{name}_whole"] for name in ("column_gaps", "merge_adjacent"))
-    assert core.QUERIES["column_gaps_whole"](spark, sf_dir).count() > 0
+    assert {"column_gaps", "merge_adjacent"} <= set(core.ORACLE_SQL)
+    assert not any("% 4" in core.ORACLE_SQL[name] for name in ("column_gaps", "merge_adjacent"))
+    assert core.QUERIES["column_gaps"](spark, sf_dir).count() > 0
