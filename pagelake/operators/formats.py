@@ -50,8 +50,8 @@ _LINE = f"named_struct('text', l.text, 'confidence', l.confidence, 'bbox', {_BOX
 _REGION = f"named_struct('label', r.label, 'bbox', {_BOX.format(v='r')}, 'text', r.text, 'confidence', r.confidence, 'lines', transform(r.lines, l -> {_LINE}))"
 
 
-def as_json(nested: DataFrame, indent: int | None = None) -> DataFrame:
-    """page_id, json. Compact and within the JVM; with ``indent``, laid out and all beyond ASCII escaped, as Python's json does by default."""
+def as_json(nested: DataFrame, indent: int | None = 2) -> DataFrame:
+    """page_id, json. Compact and within the JVM without ``indent``; with it, laid out and all beyond ASCII escaped, as Python's json does by default."""
     out = nested.select("page_id", F.expr(f"to_json(named_struct('width', width, 'height', height, 'regions', transform(regions, r -> {_REGION})))").alias("json"))
     if indent is None:
         return out

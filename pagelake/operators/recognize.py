@@ -1,11 +1,12 @@
 """Recognition: which lines and regions go to which recogniser, and what becomes of low confidences.
 
-A recogniser is an object with ``recognize(content, boxes)``: an Arrow batch's worth of page contents and
-boxes in, (text, confidence) pairs out. It is made once in every Python worker, by its factory.
+A recogniser is an object with ``recognize(contents, boxes)``: an Arrow batch's worth of crops and boxes in, (text, confidence)
+pairs out; one that reads whole regions has ``recognize_regions`` as well. It is made once in every Python worker, by its factory.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -20,25 +21,50 @@ class Recognizer(Protocol):
     def recognize(self, contents: Iterable, boxes: Iterable[tuple[int, int, int, int]]) -> list[tuple[str, float]]: ...
 
 
-_made: dict[int, Recognizer] = {}
+class RegionRecognizer(Protocol):
+    def recognize_regions(self, contents: Iterable, boxes: Iterable[tuple[int, int, int, int]]) -> list[tuple[str, float]]: ...
 
 
-def recognized(rows: DataFrame, factory: Callable[[], Recognizer], content: str = "content") -> DataFrame:
-    """The rows with text and confidence from the recogniser; an error in it leaves '' and 0."""
+#: A worker's recognisers by plan; the oldest goes when there are more than KEPT.
+_made: dict[str, Recognizer] = {}
+KEPT = 4
+
+
+def _made_for(key: str, factory: Callable[[], Recognizer]) -> Recognizer:
+    if key not in _made:
+        while len(_made) >= KEPT:
+            _made.pop(next(iter(_made)))
+        _made[key] = factory()
+    return _made[key]
+
+
+def _read(read: Callable, contents: list, boxes: list) -> list[tuple[str, float]]:
+    """The batch's readings; where the batch fails, each item's own, and '' and 0 for those that fail by themselves."""
+    try:
+        found = [(t or "", float(c or 0.0)) for t, c in read(contents, boxes)]
+        if len(found) == len(contents):
+            return found
+    except Exception:  # noqa: BLE001  an item that can't be read mustn't end the job
+        pass
+    return [("", 0.0)] if len(contents) == 1 else [_read(read, [x], [b])[0] for x, b in zip(contents, boxes)]
+
+
+def recognized(rows: DataFrame, factory: Callable[[], Recognizer], content: str = "content", regions: bool = False) -> DataFrame:
+    """The rows with text and confidence from the recogniser; an item with an error, or a recogniser that can't be made, leaves '' and 0."""
     keep = [c for c in rows.columns if c not in (content, "text", "confidence")]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", text string, confidence double"
-    key = id(factory)
+    key = uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            if key not in _made:
-                _made[key] = factory()
             cols = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
             try:
-                found = _made[key].recognize(cols[content].to_pylist(), list(zip(*(cols[c].to_pylist() for c in ("x0", "y0", "x1", "y1")))))
-            except Exception:  # noqa: BLE001  a page that can't be read mustn't end the job
+                made = _made_for(key, factory)
+                read = made.recognize_regions if regions and hasattr(made, "recognize_regions") else made.recognize
+                found = _read(read, cols[content].to_pylist(), list(zip(*(cols[c].to_pylist() for c in ("x0", "y0", "x1", "y1"))))) if b.num_rows else []
+            except Exception:  # noqa: BLE001
                 found = [("", 0.0)] * b.num_rows
-            yield pa.record_batch([*[cols[c] for c in keep], pa.array([t for t, _ in found], pa.string()), pa.array([float(c) for _, c in found], pa.float64())], [*keep, "text", "confidence"])
+            yield pa.record_batch([*[cols[c] for c in keep], pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.float64())], [*keep, "text", "confidence"])
 
     return rows.mapInArrow(run, schema)
 

@@ -1,10 +1,18 @@
-"""Names of components."""
+"""Names of components, and what each needs."""
 
 from __future__ import annotations
 
-import importlib
+import importlib.util
+import inspect
+import shutil
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
+from .. import detectors as D
+from .. import readers as R
+
 
 class Registry:
     def __init__(self, kind: str):
@@ -23,22 +31,51 @@ class Registry:
         return [*sorted(self._items)]
 
 
-class Missing:
-    """A component whose library isn't installed: making it says what to install."""
+def accepted(maker: Callable, model: str | None = None, **options: Any) -> dict[str, Any]:
+    """Those options that ``maker`` takes and that are given; ``model`` under the first of its names there."""
+    takes = inspect.signature(maker).parameters
+    if model is not None:
+        options |= {next((n for n in ("model", "model_dir", "model_id") if n in takes), ""): str(model)}
+    return {k: v for k, v in options.items() if k in takes and v is not None}
+
 
-    def __init__(self, name: str, module: str):
-        self.name, self.module = name, module
+@dataclass
+class Component:
+    """A detector or recogniser by name: made where its libraries and programs are, otherwise an ImportError says what it needs."""
 
-    def __call__(self, *args: Any, **options: Any) -> Any:
-        try:
-            importlib.import_module(self.module)
-        except ImportError as e:
-            raise ImportError(f"{self.name} needs the library {self.module}") from e
-        raise NotImplementedError(f"{self.name}: pass a factory that makes the recogniser from {self.module}")
+    name: str
+    maker: Callable
+    libraries: tuple[str, ...] = ()
+    programs: tuple[str, ...] = ()
+    lines: bool | None = None
+    regions: bool = False
+
+    def __call__(self, model: str | None = None, **options: Any) -> Any:
+        missing = [f"the library {x}" for x in self.libraries if importlib.util.find_spec(x) is None] + [f"the program {x}" for x in self.programs if shutil.which(x) is None]
+        if missing:
+            raise ImportError(f"{self.name} needs {' and '.join(missing)}")
+        options = accepted(self.maker, model, **options)
+        return self.maker(**options) if self.lines is None else R.Reader.of(self.maker, self.lines, self.regions, **options)
 
 
 detectors, recognizers, formatters = Registry("detector"), Registry("recogniser"), Registry("formatter")
-for _name, _module in (("as_yolo", "onnxruntime"), ("paddlex", "paddlex")):
-    detectors.register(_name, Missing(_name, _module))
-for _name, _module in (("tesseract", "pytesseract"), ("tesseract-news", "pytesseract"), ("tesserocr", "tesserocr"), ("effocr", "efficient_ocr"), ("glm-ocr", "transformers"), ("kraken", "kraken"), ("trocr", "transformers"), ("lightonocr", "transformers")):
-    recognizers.register(_name, Missing(_name, _module))
+for _c in (Component("as_yolo", D.yolo, ("onnxruntime",)), Component("paddlex", D.paddlex, ("paddlex",))):
+    detectors.register(_c.name, _c)
+
+
+def news(tessdata_dir: str | None = None) -> R.Tesseract:
+    """Lines by the model ``news`` beside the package."""
+    return R.Tesseract("news", tessdata_dir, "line")
+
+
+for _c in (
+    Component("tesseract", R.Tesseract, (), ("tesseract",), True, True),
+    Component("tesseract-news", news, (), ("tesseract",), True, True),
+    Component("tesserocr", R.Tesserocr, ("tesserocr", "PIL"), (), True, True),
+    Component("kraken", R.Kraken, ("kraken", "PIL"), (), True),
+    Component("trocr", R.Trocr, ("torch", "transformers", "PIL"), (), True),
+    Component("effocr", R.Effocr, ("efficient_ocr",), (), True),
+    Component("glm-ocr", R.glm, (), (), False, True),
+    Component("lightonocr", R.lighton, ("torch", "transformers"), (), False, True),
+):
+    recognizers.register(_c.name, _c)

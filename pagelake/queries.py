@@ -569,7 +569,7 @@ SELECT page_id, to_json({{'width': width, 'height': height, 'regions': regions}}
     "regions", "region_lines", "pages_",
 )
 def fmt_json(spark, d):
-    return formats.as_json(formats.nested_pages(X.pages(spark, d), X.regions(spark, d), X.region_lines(spark, d)))
+    return formats.as_json(formats.nested_pages(X.pages(spark, d), X.regions(spark, d), X.region_lines(spark, d)), None)
 
 
 _ESCAPED = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -603,4 +603,4 @@ def page_pipeline(spark, d):
     pages = X.table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("page_id"), F.lit(400).alias("width"), F.lit(900).alias("height"))
     lines = X.lines(spark, d)
     regions = lines.groupBy("page_id", "region_idx").agg(F.lit("article").alias("label"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.lit("").alias("text"), F.lit(1.0).alias("confidence"))
-    return Pipeline().run(pages, regions, lines)
+    return Pipeline(layout_processing=False).run(pages, regions, lines)

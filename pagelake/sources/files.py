@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import base64
-import json
 import os
-import urllib.request
 from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
@@ -13,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..readers import Service
+
 #: Endings of file names, by output.
 SUFFIX = dict(hocr="hocr", json="json", text="txt")
 
@@ -64,23 +63,4 @@ def find_model(name: str, explicit: str | None = None, model_dir: str | None = N
     raise FileNotFoundError(f"{name} is in none of: " + ", ".join(map(str, places)))
 
 
-class ModelService:
-    """A recogniser behind HTTP: every crop is posted as a chat completion with a base64 PNG."""
-
-    def __init__(self, url: str, model: str, prompt: str = "Text Recognition:", max_tokens: int = 4096, timeout: float = 25.0):
-        self.url, self.model, self.prompt, self.max_tokens, self.timeout = url, model, prompt, max_tokens, timeout
-
-    def body(self, png: bytes) -> bytes:
-        data = dict(url="data:image/png;base64," + base64.b64encode(png).decode())
-        image = dict(type="image_url", image_url=data)
-        message = {"role": "user", "content": [image, {"type": "text", "text": self.prompt}]}
-        return json.dumps({"model": self.model, "max_tokens": self.max_tokens, "messages": [message]}).encode()
-
-    def ask(self, png: bytes) -> str:
-        request = urllib.request.Request(self.url, self.body(png), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            first = json.load(answer)["choices"][0]
-        return first["message"]["content"]
-
-    def recognize(self, contents, boxes) -> list[tuple[str, float]]:
-        return [(text, 0.9 if text else 0.0) for text in map(self.ask, contents)]
+ModelService = Service

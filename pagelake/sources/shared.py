@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the session's checkpoint folder, their lineage cut.
 
-    The folder is spark.checkpoint.dir; one of our own is made only where the session names none, as in tests on one machine.
+    The folder is spark.checkpoint.dir. One of our own is made only where the session names none and runs on one machine; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pagelake-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelake-"))
     return df.checkpoint()
