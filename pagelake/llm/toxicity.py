@@ -5,15 +5,17 @@ hashes of its first 4, 5, 6, 7 and 9 bytes select from one table of 2**BUCKET_BI
 rows that fewer than MIN_DOCS training documents select stay zero; one dimension starts from the
 log-odds of toxicity. FILTERS filters of
 each width in WIDTHS slide over a text's words; the largest response of each, rectified, feeds a logistic
-output. Training uses Adagrad on at most ``sample`` labelled documents, those of the least hashes of doc_id; a
-quarter of them, by another hash, is held out, and there each language's threshold is set where F1 is
-best (half-way between the scores next to it); a language with fewer than MIN_POSITIVE held-out
-toxic documents uses the threshold of all. Whole texts are read, in training and scoring.
+output. Training uses Adagrad on at most ``sample`` labelled documents that are there, those of the least hashes of doc_id; a
+quarter of them, by another hash, is left out. Thresholds come from every labelled document that wasn't trained on, scored where
+it lies: each language's is where F1 is best (half-way between the scores next to it, which are counted by steps of
+1 / STEPS_OF_SCORE); a language with fewer than MIN_POSITIVE toxic ones there has the threshold of all. Where no such document is toxic, all
+labelled ones are used, the trained ones too. Whole texts are read, in training and scoring.
 
 Defined results: a null text counts as an empty one, of no words, scored like any other; labels with a
-null id or toxic are left out; several labels of one document all count; a null or unknown language
-has the threshold of all; without labels of both classes nothing is toxic; repeated rows get equal scores;
-extra columns are ignored; an empty table gives an empty one.
+null id or toxic, and of documents that aren't there, are left out; several labels of one document all count, equal rows are trained on once; a null or unknown language
+has the threshold of all; without labels of both classes nothing is toxic; repeated rows and equal texts get equal scores; of documents
+with equal hashes those of the lesser ids are trained on; doc_id is a whole number (or a string of one); very long texts are read whole, about 30 bytes of
+memory a byte of a text; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ PREFIXES = (4, 5, 6, 7, 9)
 #: Share of the distinct words that a training batch leaves out, so that no word relies on others.
 DROPPED = 0.5
 #: At most so many labelled documents are fitted to.
+STEPS_OF_SCORE = 100_000
 SAMPLE, EPOCHS, STEPS, BATCH, MIN_POSITIVE, MIN_DOCS = 12_000, 8, 600, 64, 8, 4
-SCHEMA = "doc_id long, lang string, score double, toxic boolean"
 N_FILTERS = len(WIDTHS) * FILTERS
 
 
@@ -132,6 +134,38 @@ def _documents(buckets: np.ndarray, word: np.ndarray, first: np.ndarray, y: np.n
     return n, toxic
 
 
+def gradients(net: Net, vectors: np.ndarray, local: np.ndarray, first: np.ndarray, y: np.ndarray, heavy: np.ndarray) -> tuple[list, float, np.ndarray]:
+    """Of the mean weighted logistic loss of some texts: by shift, out and kernels, by the bias, and by the words' vectors."""
+    top, every, edge, padded = net.responses(vectors, local, first)
+    hidden = np.maximum(top + net.shift, 0)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.bias, -30, 30)))
+    g = ((p - y) * heavy / len(y)).astype(np.float32)
+    g_top = g[:, None] * net.out * (hidden > 0)
+    known = np.vstack([vectors, np.zeros((1, DIM), np.float32)])
+    g_known = np.zeros_like(known)
+    grads = [g_top.sum(0), g @ hidden]
+    span = edge[:, 1] - edge[:, 0]
+    inside = C.ragged(edge[:, 0], span)
+    begin = np.cumsum(span) - span
+    for k, (width, kernel) in enumerate(zip(WIDTHS, net.kernels)):
+        part = slice(k * FILTERS, (k + 1) * FILTERS)
+        is_top = every[k][inside] == np.repeat(top[:, part], span, 0)
+        # the first window of each maximum
+        hit = np.flatnonzero(is_top.T.ravel())
+        filt, place = hit // len(inside), hit % len(inside)
+        row = np.searchsorted(begin, place, "right") - 1
+        _, once = np.unique(filt * len(y) + row, return_index=True)
+        filt, place, row = filt[once], place[once], row[once]
+        weight = g_top[row, k * FILTERS + filt]
+        g_kernel = np.zeros_like(kernel)
+        for j in range(width):
+            at = padded[inside[place] + j]
+            np.add.at(g_kernel[j].T, filt, weight[:, None] * known[at])
+            np.add.at(g_known, at, weight[:, None] * kernel[j].T[filt])
+        grads.append(g_kernel)
+    return grads, float(g.sum()), g_known[:-1]
+
+
 def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, seed: int = 5, steps: int = STEPS) -> Net:
     """Adagrad on the weighted logistic loss, ``epochs`` times over and for ``steps`` batches at least; only the windows that a maximum came from pass gradients on."""
     net = fresh(seed)
@@ -158,39 +192,13 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
             own, local = np.unique(words, return_inverse=True)
             there = rng.random(len(own)) >= DROPPED
             vectors = net.embed(buckets[own]) * there[:, None].astype(np.float32)
-            top, every, edge, padded = net.responses(vectors, local, np.concatenate([[0], np.cumsum(size)]))
-            hidden = np.maximum(top + net.shift, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.bias, -30, 30)))
-            g = ((p - y[rows]) * heavy[rows] / len(rows)).astype(np.float32)
-            g_top = g[:, None] * net.out * (hidden > 0)
-            known = np.vstack([vectors, np.zeros((1, DIM), np.float32)])
-            g_known = np.zeros_like(known)
-            grads = [g_top.sum(0), g @ hidden]
-            span = edge[:, 1] - edge[:, 0]
-            inside = C.ragged(edge[:, 0], span)
-            begin = np.cumsum(span) - span
-            for k, (width, kernel) in enumerate(zip(WIDTHS, net.kernels)):
-                part = slice(k * FILTERS, (k + 1) * FILTERS)
-                is_top = every[k][inside] == np.repeat(top[:, part], span, 0)
-                # the first window of each maximum
-                hit = np.flatnonzero(is_top.T.ravel())
-                filt, place = hit // len(inside), hit % len(inside)
-                row = np.searchsorted(begin, place, "right") - 1
-                _, once = np.unique(filt * len(rows) + row, return_index=True)
-                filt, place, row = filt[once], place[once], row[once]
-                weight = g_top[row, k * FILTERS + filt]
-                g_kernel = np.zeros_like(kernel)
-                for j in range(width):
-                    at = padded[inside[place] + j]
-                    np.add.at(g_kernel[j].T, filt, weight[:, None] * known[at])
-                    np.add.at(g_known, at, weight[:, None] * kernel[j].T[filt])
-                grads.append(g_kernel)
+            grads, g_bias, g_known = gradients(net, vectors, local, np.concatenate([[0], np.cumsum(size)]), y[rows], heavy[rows])
             for value, square, grad in zip(parameters, squares, grads):
                 square += grad * grad
                 value -= rate * grad / np.sqrt(square)
-            bias_square += float(g.sum()) ** 2
-            net.bias -= rate * float(g.sum()) / np.sqrt(bias_square)
-            touched = np.flatnonzero(np.any(g_known[:-1], 1) & there)
+            bias_square += g_bias**2
+            net.bias -= rate * g_bias / np.sqrt(bias_square)
+            touched = np.flatnonzero(np.any(g_known, 1) & there)
             at, of = buckets[own[touched]].ravel(), np.repeat(g_known[touched], buckets.shape[1], 0)
             at, of = at[~frozen[at]], of[~frozen[at]]
             rows_of, back = np.unique(at, return_inverse=True)
@@ -201,58 +209,91 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.
     return net
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """Where F1 is best, half-way to the next lower score."""
+def best_threshold(score: np.ndarray, toxic: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Where F1 is best, half-way to the next lower score; each score stands for ``n`` documents, ``toxic`` of them toxic."""
     order = np.argsort(-score, kind="stable")
-    s, hits = score[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    s, hits, found = score[order], np.cumsum(toxic[order]), np.cumsum((np.ones(len(score)) if n is None else n)[order])
+    f1 = 2 * hits / (found + toxic.sum())
     last = np.append(s[1:] != s[:-1], True)
     k = int(np.where(last, f1, -1).argmax())
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
-    """Trained and calibrated on the ``sample`` labelled documents of the least hashes of doc_id."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
-    chosen = known.orderBy("h", "doc_id", "y").limit(sample)
-    rows = C.texts(docs, "lang").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+def known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net, list[int]]:
+    """A net without thresholds, and the ids of the documents that it was trained on, none if there aren't two classes."""
+    there = known(labels).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    chosen = there.distinct().orderBy("h", "doc_id", "y").limit(sample)
+    rows = C.texts(docs, "lang").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "y", "t"]).orderBy("h", "doc_id", "y", "t").limit(sample).toArrow()
     y = rows.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
-        return fresh()
+        return fresh(), []
     held = (rows.column("h").to_numpy() >> 7) % 4 == 0
-    if held.all() or not y[~held].any() or y[~held].all() or not y[held].any():
+    if not y[~held].any() or y[~held].all():
         held[:] = False
-    text, lang = rows.column("text").combine_chunks(), np.array(rows.column("lang").to_pylist(), object)
-    if isinstance(text, pa.ChunkedArray):
-        text = text.chunk(0)
-    net = train(text.filter(pa.array(~held)), y[~held])
-    rest = held if held.any() else ~held
-    score, y, lang = scores(net, text.filter(pa.array(rest))), y[rest], lang[rest]
-    net.threshold = best_threshold(score, y)
-    for x in set(lang.tolist()) - {None}:
-        own = lang == x
-        if y[own].sum() >= MIN_POSITIVE:
-            net.thresholds[x] = best_threshold(score[own], y[own])
-    return net
+    text = rows.column("text").cast(pa.large_string()).combine_chunks()
+    return train(text.filter(pa.array(~held)), y[~held]), rows.column("doc_id").to_numpy()[~held].tolist()
 
 
-def scores(net: Net, texts: pa.Array) -> np.ndarray:
-    return np.concatenate([net.score(*C.text_bytes(b.column(0))) for b in C.sub_batches([pa.record_batch([texts], ["text"])])] or [np.zeros(0)])
+def calibrate(net: Net, raw: DataFrame, labels: DataFrame, ids: list[int]) -> None:
+    """The thresholds, from the scores of all labelled documents but those trained on, counted by language and step."""
+    if not ids:
+        return
+    seen = F.broadcast(raw.sparkSession.createDataFrame([(x, True) for x in sorted(set(ids))], "doc_id long, seen boolean"))
+    rows = raw.join(known(labels).select("doc_id", "y"), "doc_id").join(seen, "doc_id", "left")
+    step = F.floor(F.col("score") * STEPS_OF_SCORE).cast("int")
+    found = rows.groupBy("lang", step.alias("step"), F.col("seen").isNull().alias("unseen")).agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).collect()
+    use = [r for r in found if r.unseen]
+    if not sum(r.toxic for r in use):
+        use = found
 
+    def threshold(rows):
+        return best_threshold(*(np.array(x, float) for x in zip(*((r.step / STEPS_OF_SCORE, r.toxic, r.n) for r in rows))))
+
+    net.threshold = threshold(use)
+    for x in {r.lang for r in use} - {None}:
+        own = [r for r in use if r.lang == x]
+        if sum(r.toxic for r in own) >= MIN_POSITIVE:
+            net.thresholds[x] = threshold(own)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
+    """Trained on ``sample`` labelled documents at most, calibrated on all others."""
+    net, ids = trained(docs, labels, sample)
+    calibrate(net, raw_scores(docs, net), labels, ids)
+    return net
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, lang, score (probability) and toxic (at or above the language's threshold) of every document."""
+
+def raw_scores(docs: DataFrame, net: Net) -> DataFrame:
+    """doc_id, lang, score (probability) of every document."""
 
     def run(batches):
         for b in C.sub_batches(batches):
-            s = net.score(*C.text_bytes(C.column(b, "text")))
-            lang = C.column(b, "lang")
-            yield pa.record_batch([C.column(b, "doc_id"), lang, pa.array(s), pa.array(net.toxic(s, lang.to_pylist()))], ["doc_id", "lang", "score", "toxic"])
+            yield pa.record_batch([C.column(b, "doc_id"), C.column(b, "lang"), pa.array(net.score(*C.text_bytes(C.column(b, "text"))))], ["doc_id", "lang", "score"])
+
+    return C.texts(docs, "lang").mapInArrow(C.tidy(run), "doc_id long, lang string, score double")
 
-    return C.texts(docs, "lang").mapInArrow(C.tidy(run), SCHEMA)
+
+def judged(raw: DataFrame, net: Net) -> DataFrame:
+    """The scores with toxic: at or above the language's threshold."""
+    own = F.lit(net.threshold)
+    for lang, threshold in net.thresholds.items():
+        own = F.when(F.col("lang") == lang, threshold).otherwise(own)
+    return raw.withColumn("toxic", F.col("score") >= own)
+
+
+def score(docs: DataFrame, net: Net) -> DataFrame:
+    """doc_id, lang, score (probability) and toxic of every document."""
+    return judged(raw_scores(docs, net), net)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.read(spark, sf_dir, "documents")
-    return score(docs, fit(docs, C.read(spark, sf_dir, "labels")))
+    docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
+    net, ids = trained(docs, labels)
+    raw = C.checkpoint(raw_scores(docs, net))
+    calibrate(net, raw, labels, ids)
+    return judged(raw, net)
