@@ -3,12 +3,13 @@
 Statistics are eleven numbers from one pass over a text's bytes. ``fit`` standardises them, maps them
 to random Fourier features (an approximation of a Gaussian kernel), sums the normal equations by
 partition, solves them for ridge scores, and calibrates the scores isotonically on labelled rows
-held out by a hash of doc_id. All labelled rows are used.
+held out by a hash of doc_id, counted by steps of 1 / BINS of the score. All labelled rows are used.
 
 Defined results: a null text counts as an empty one; labels with a null id or quality are left out;
 several labels of a document all count; without labels of both classes every document gets the
 labels' mean (1 without labels), so nothing is rejected unless all labels say so; extra columns are
 passed through by ``filter_quality`` and ignored elsewhere; ties and repeated rows get equal scores;
+doc_id is a whole number (or a string of one); very long texts are read whole, as one row of work arrays of about 30 bytes a byte of text;
 an empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ CLASSES[128:] = 7
 CLASSES[65:91], CLASSES[97:123], CLASSES[48:58] = 0, 1, 2
 CLASSES[[9, 11, 12, 13, 32]], CLASSES[10] = 3, 4
 CLASSES[[ord(c) for c in ".,;:'\"!?-()"]] = 5
-N_STATS, N_FEATURES, SLOTS, BINS = 11, 256, 8, 2048
+N_STATS, N_FEATURES, SLOTS, BINS = 11, 256, 8, 100_000
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -42,6 +43,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     h = C.hash_ranges(data, start, end)
     again = np.zeros(len(h))
     again[1:] = h[1:] == h[:-1]
+    again[first[:-1][n_words > 0]] = 0  # a text's first word follows none
     again = np.bincount(np.repeat(np.arange(n), n_words), weights=again, minlength=n) / np.maximum(n_words, 1)
     cols = [np.log1p(size), np.log1p(n_words), length, long_words, (counts[:, 1] + counts[:, 7]) / total, 10 * counts[:, 0] / total, 10 * counts[:, 2] / total, 10 * counts[:, 5] / total, 10 * counts[:, 6] / total, 10 * counts[:, 4] / np.maximum(n_words, 1), 10 * again]
     return np.stack(cols, 1)
@@ -65,8 +67,7 @@ def projection(seed: int = 11, gamma: float = 0.05) -> tuple[np.ndarray, np.ndar
 def fourier(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     """Features whose inner products approximate exp(-gamma * squared distance), and a constant."""
     w, b = projection()
-    z = np.clip((x - mean) / sd, -8, 8)
-    return np.hstack([np.sqrt(2 / N_FEATURES) * np.cos(z @ w + b), np.ones((len(x), 1))])
+    return np.hstack([np.sqrt(2 / N_FEATURES) * np.cos((x - mean) / sd @ w + b), np.ones((len(x), 1))])
 
 
 @dataclass
@@ -132,8 +133,7 @@ def _binned(model):
         for b in batches:
             if b.num_rows:
                 s = model.scores(matrix(C.column(b, "x")))
-                k = np.clip(((s + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
-                yield pa.record_batch([pa.array(k, pa.int32()), C.column(b, "y")], ["k", "y"])
+                yield pa.record_batch([pa.array(np.floor(s * BINS).astype(np.int64)), C.column(b, "y")], ["k", "y"])
 
     return score
 
@@ -158,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, ridge: float = 1e-3, held_out: int =
     weights = np.linalg.solve(a[:, :d] + ridge * n * np.eye(d) / d, a[:, d])
     model = Model(mean, sd, weights, nothing, nothing, prior)
     held = rows.where("held") if head[-2] else rows
-    bins = sorted(held.select("x", "y").mapInArrow(_binned(model), "k int, y double").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect())
+    bins = sorted(held.select("x", "y").mapInArrow(_binned(model), "k long, y double").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect())
     model.values = isotonic(np.array([b.n for b in bins], float), np.array([b.good for b in bins]))
-    model.knots = np.array([b.k for b in bins]) / BINS * 2 - 0.5
+    model.knots = np.array([b.k for b in bins]) / BINS
     return model
 
 
