@@ -7,11 +7,14 @@ decode independently, here all side by side, one table look-up an id.
 
 Defined results: null ids have null bits, checkpoints and exact; no ids have an empty bit string and no checkpoint; a table
 with one distinct id uses codes of one bit; repeated rows are coded alike; extra columns are ignored;
-an empty table gives an empty one. An id that the counts lack can't be coded: ValueError.
+an empty table gives an empty one; doc_id is a whole number (or a string of one); very long texts are read whole, as one row of work arrays of about 30 bytes a byte of text; checkpoints are of 32 bits,
+so a row holds at most 2**31 bits; ids of equal count get shorter codes by the greater id first. An id that the counts lack can't be coded: ValueError.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -196,6 +199,36 @@ def decode(coded: DataFrame, code: Code) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "bits", "checkpoints").mapInArrow(C.tidy(run), "doc_id long, ids array<int>")
 
 
+def code_rows(spark: SparkSession, code: Code) -> DataFrame:
+    """id and its code's length, of the ids that have one: as codes are canonical, all that decoding needs."""
+    used = np.flatnonzero(code.bits)
+    return spark.createDataFrame([(int(k), int(code.bits[k])) for k in used], "id int, length int")
+
+
+def code_of(rows: DataFrame, size: int = 1 << 16) -> Code:
+    bits = np.zeros(size, np.uint8)
+    for r in rows.collect():
+        bits[r.id] = r.length
+    return Code(bits)
+
+
+def write(docs: DataFrame, folder: str) -> None:
+    """The documents' coded rows as Parquet in folder/rows, and the code in folder/code."""
+    packed = C.checkpoint(pack(docs))
+    code = fit(packed)
+    code_rows(docs.sparkSession, code).coalesce(1).write.parquet(f"{folder}/code")
+    encode(packed, code).write.parquet(f"{folder}/rows")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and ids of what ``write`` wrote."""
+    return decode(spark.read.parquet(f"{folder}/rows"), code_of(spark.read.parquet(f"{folder}/code")))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's coded row, with ``code``: the table of the code's lengths in the shared folder, for ``code_of``."""
     packed = C.checkpoint(pack(C.read(spark, sf_dir, "documents")))
-    return encode(packed, fit(packed))
+    code = fit(packed)
+    path = f"{C.shared_folder(spark).rstrip('/')}/huffman-{hashlib.sha256(code.bits.tobytes()).hexdigest()[:16]}"
+    code_rows(spark, code).coalesce(1).write.mode("overwrite").parquet(path)
+    return encode(packed, code).withColumn("code", F.lit(path))
