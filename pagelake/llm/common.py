@@ -31,28 +31,29 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a registered query. Such queries run with 1,000 rows an Arrow batch where the session has Spark's default of 10,000, as rows of text are large; operators by themselves leave the session as it is."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Eagerly written to the shared checkpoint folder, lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is made only where the
-    session names none, as in tests on one machine.
-    """
+    """Eagerly written to the shared checkpoint folder, lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pagelake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is named, as in tests on one machine."""
+    """The folder that all executors share, spark.checkpoint.dir. One of our own is made only where none is named and Spark runs on one machine; on a cluster that is an error."""
     context = spark.sparkContext
-    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-"))
-    return context.getCheckpointDir() or named
+    return named or context.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,13 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id (as long), text and more columns, on their way to Python.
-
-    Rows of text are large: where the session has Spark's default of 10,000 rows an Arrow batch, it is lowered to 1,000.
-    """
-    conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """doc_id (a whole number, or a string of one, as long), text and more columns, on their way to Python."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 

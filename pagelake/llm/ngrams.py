@@ -15,7 +15,8 @@ memory. The mixture's weights and three sums are all that the driver sees.
 
 Defined results: a null text has null scores; one without words has no symbols, log-probability 0 and a
 null perplexity, and isn't counted; n_symbols counts the end; rows of a null doc_id count and are scored;
-repeated rows count each time; extra columns are ignored; an empty table gives an empty one.
+repeated rows count each time, and equal texts score alike; doc_id is a whole number (or a string of one); very long texts are read whole, as one row of work arrays of about 30 bytes a byte of text,
+and one fills a unit by itself; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
