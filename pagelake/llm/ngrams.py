@@ -205,15 +205,20 @@ def estimates(rows: list[pa.RecordBatch], unit: int, counts: Counts, train: bool
     if not len(w):
         return np.zeros((0, ORDER + 1)), np.zeros(0, np.int64), size
     keys, first = keys_of(w, size)
-    key = np.sort(keys.ravel())
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    # each symbol's place among the unit's keys by one sort, as a search for each takes three times as long
+    order = np.argsort(keys.ravel())
+    key = keys.ravel()[order]
+    rank = np.zeros(len(key), np.int32)
+    np.cumsum(key[1:] != key[:-1], out=rank[1:])
+    del key, keys
     file = np.asarray(C.load(counts.path, f"unit-{unit}", np.uint8))
     n = int(file[:8].view(np.int64)[0])
-    if n != len(key):
+    if n != rank[-1] + 1:
         raise ValueError("the documents came in another order than when they were counted")
-    found = unpack(file[8:].tobytes(), n * (1 + (unit & 1)))[n * train :][:n]
-    one, two, three = (found[np.searchsorted(key, x)] for x in keys)
-    del key, keys, found
+    found = np.empty(len(order), np.int64)
+    found[order] = unpack(file[8:].tobytes(), n * (1 + (unit & 1)))[n * train :][rank]
+    one, two, three = found.reshape(ORDER, -1)
+    del order, rank
     texts = one[np.flatnonzero(w == END)[0]]  # as often as a text ends, one begins
     before_two, before_three = (np.where(first, texts, np.concatenate([[0], x[:-1]])) for x in (one, two))
     p = np.stack([three / np.maximum(before_three, 1), two / np.maximum(before_two, 1), one / max(counts.train if train else counts.total, 1), np.full(len(w), 1 / counts.words)], 1)
