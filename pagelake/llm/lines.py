@@ -2,8 +2,9 @@
 
 Lines are trimmed of ASCII white space; blank ones are passed over. A window is the least number of consecutive
 lines that hold ``WORDS`` words: one line of as many, or a few short ones. Of each window the least line hash is
-selected as a fingerprint, so any two equal runs of lines with WORDS words, single lines too, share one. Fingerprints
-that occur twice are joined; around each, the windows that it was selected from are compared, and a match's extension
+selected as a fingerprint, so any two equal runs of lines with WORDS words, single lines too, share one. Positions are
+joined by fingerprint and by the window that it was selected from, both at once: a frequent short line between ever
+different ones is the fingerprint of many windows, which so don't meet in one task. A match's extension
 in both directions is the union of the matching windows. A line is deleted where it lies in a window whose first
 occurrence, by doc_id and position, is another. One document's own repeats count. All earlier occurrences are
 partners; groups are handled by their first occurrence, never by pairs. Short lines of fewer words stay
@@ -102,9 +103,8 @@ def later_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
         raise ValueError("a window is of 1 to 255 words")
     keyed = C.texts(docs.where("doc_id is not null and text <> ''")).withColumn("text_hash", F.xxhash64("text"))
     chosen = keyed.mapInArrow(C.tidy(_select(least)), "fp long, run long, doc_id long, text_hash long, at long, later boolean")
-    joined = chosen.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("later or n > 1")
     place = F.struct("doc_id", "text_hash", "at")
-    later = joined.withColumn("first", F.min(place).over(W.partitionBy("fp", "run"))).where(F.col("later") | (F.col("first") != place))
+    later = chosen.withColumn("first", F.min(place).over(W.partitionBy("fp", "run"))).where(F.col("later") | (F.col("first") != place))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("spans"))
 
 
