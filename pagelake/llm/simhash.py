@@ -1,15 +1,21 @@
 """SimHash near-dedup over deletion-variant signatures.
 
 A signature has BITS bits: the signs of the sums of +-1 vectors of a text's words (runs of letters
-and digits, folded), each word weighted by the root of its frequency. It is cut into SEGMENTS, fewer
-than one more than the greatest difference would need: signatures that differ by at most
-2 * SEGMENTS - 1 bits have a segment that differs by at most one. Each segment is indexed by its
-variants with one bit left out (a wildcard), so such segments share a variant; variants are joined
-by equality and the members of each bucket verified by Hamming distance, up to MAX_BITS = 36. Pairs are surely
-found up to 2 * SEGMENTS - 1 = 17 bits. Beyond, a pair of independently differing bits has a common variant with the chances that
-``chance`` gives: 0.997 at 20 bits, 0.95 at 24, 0.84 at 28, 0.66 at 32 and 0.49 at 36; pairs that only this would link, with no third
-text between, may be missed. 36 bits could be guaranteed by 19 segments of 13 bits, whose variants a corpus of a
-million texts would fill with hundreds of chance members each, growing with its square.
+and digits, folded), each word weighted by the root of its frequency. Signatures that differ by at most
+MAX_BITS = 36 bits are near; every such pair is found, in two passes.
+
+The first finds most of them at a small price. A signature is cut into SEGMENTS; each is indexed by its
+variants with one bit left out (a wildcard), variants are joined by equality and the members of each bucket
+verified by Hamming distance. Up to 2 * SEGMENTS - 1 = 17 bits some segment differs by at most one, so that
+a variant is shared; beyond, a pair of independently differing bits has a common variant with the chances that
+``chance`` gives: 0.997 at 20 bits, 0.95 at 24, 0.84 at 28, 0.66 at 32 and 0.49 at 36.
+
+The second finds what is left: pairs of different groups of the first pass. The bits are cut into ``pieces``,
+each with a radius, whose sum with their number is one more than the limit, so that near signatures differ by at
+most the radius in one of the pieces. Signatures are sorted by the piece's value; each looks up all values within
+the radius, and what is there and of another group is compared in full. Tasks are a piece of two blocks of about
+BLOCK signatures, read from the shared folder, so that memory is bounded; work still grows with the square of the
+signatures, by the small share of pairs that agree in a piece by chance.
 
 Equal signatures are joined first. Buckets of more than one signature are kept as member lists, equal
 lists once; a bucket's verified pairs are reduced to a spanning forest, which leaves the connected
@@ -24,8 +30,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +43,8 @@ from . import common as C
 BITS, SEGMENTS, MAX_BITS = 256, 9, 36
 LONGS = BITS // 64
 CUTS = np.linspace(0, BITS, SEGMENTS + 1).astype(int)
+#: Signatures of a block of the second pass, pairs compared at a time, and the most bits of a piece that are looked up.
+BLOCK, PAIRS, PIECE_BITS = 1 << 20, 1 << 18, 21
 
 #: Bytes of a word: ASCII letters and digits, and all of a multi-byte character; ASCII capitals folded.
 _WORD = np.zeros(256, bool)
@@ -240,6 +251,131 @@ def _verify(limit, rows=1 << 16):
     return verify
 
 
+def pieces(limit: int) -> list[tuple[int, int, int]]:
+    """First bit, bits and radius of pieces such that signatures within the limit differ by at most the radius in one of them."""
+    n = limit // 3 + 1
+    radius = np.full(n, 2)
+    for k in range(3 * n - limit - 1):
+        radius[k % n] -= 1
+    cuts = np.concatenate([[0], np.cumsum(np.array([8, 15, 21])[radius])])
+    cuts = np.round(cuts * (BITS / cuts[-1])).astype(int)
+    return [(int(lo), int(min(hi - lo, PIECE_BITS)), int(r)) for lo, hi, r in zip(cuts, cuts[1:], radius)]
+
+
+def piece_values(sigs: np.ndarray, lo: int, bits: int) -> np.ndarray:
+    """The value of so many bits from ``lo`` on, of each column of LONGS rows."""
+    k, shift = divmod(lo, 64)
+    value = sigs[k] >> np.uint64(shift)
+    if shift + bits > 64:
+        value = value | (sigs[k + 1] << np.uint64(64 - shift))
+    return (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+class Sorted:
+    """Signatures by a piece's value and their group; runs of both equal, and each value's first run."""
+
+    def __init__(self, sigs: np.ndarray, group: np.ndarray, lo: int, bits: int):
+        value = piece_values(sigs, lo, bits)
+        order = np.lexsort((group, value))
+        value, group, self.sigs = value[order], group[order], np.ascontiguousarray(sigs[:, order])
+        self.groups = group
+        self.at = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])]))
+        self.size = np.diff(np.append(self.at, len(value)))
+        self.value, self.group = value[self.at], group[self.at]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.value, minlength=1 << bits))])
+
+
+def _runs(a: Sorted, b: Sorted, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of runs of different groups whose values are within the radius; of one table's with itself each once."""
+    single = [1 << k for k in range(bits)]
+    masks = {0} | (set(single) if radius else set()) | ({x | y for x in single for y in single} if radius > 1 else set())
+    for mask in sorted(masks):
+        if a is b and not mask:
+            run = np.arange(len(a.value))
+            lo, hi = run + 1, b.first[a.value + 1]
+        else:
+            run = np.flatnonzero(a.value & (1 << (mask.bit_length() - 1)) == 0) if a is b else np.arange(len(a.value))
+            other = a.value[run] ^ mask
+            lo, hi = b.first[other], b.first[other + 1]
+        some = np.flatnonzero(hi > lo)
+        run, lo, n = run[some], lo[some], (hi - lo)[some]
+        for x, y in C.blocks(n, PAIRS):
+            left, right = np.repeat(run[x:y], n[x:y]), C.ragged(lo[x:y], n[x:y])
+            apart = np.flatnonzero(a.group[left] != b.group[right])
+            if len(apart):
+                yield left[apart], right[apart]
+
+
+def _rows(a: Sorted, b: Sorted, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of pairs of runs, every one of the left with every one of the right."""
+    for x, y in C.blocks(a.size[left], PAIRS):
+        n = a.size[left[x:y]]
+        i, other = C.ragged(a.at[left[x:y]], n), np.repeat(right[x:y], n)
+        n = b.size[other]
+        for p, q in C.blocks(n, PAIRS):
+            yield np.repeat(i[p:q], n[p:q]), C.ragged(b.at[other[p:q]], n[p:q])
+
+
+def across(a: Sorted, b: Sorted, bits: int, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lesser and greater group, once each, of all pairs of different groups within the limit whose pieces are within the radius."""
+    found = np.zeros((0, 2), np.int64)
+    for left, right in _runs(a, b, bits, radius):
+        for i, j in _rows(a, b, left, right):
+            d = np.bitwise_count(a.sigs[0][i] ^ b.sigs[0][j]).astype(np.int16)
+            for k in range(1, LONGS):
+                d += np.bitwise_count(a.sigs[k][i] ^ b.sigs[k][j])
+                near = np.flatnonzero(d <= limit)
+                d, i, j = d[near], i[near], j[near]
+            if len(i):
+                pair = np.sort(np.stack([a.groups[i], b.groups[j]], 1), 1)
+                found = np.unique(np.concatenate([found, pair]), axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def _save_block(path):
+    """A partition's signatures and groups as one file of the shared folder; its number and rows."""
+
+    def save(batches):
+        columns = [f"s{k}" for k in range(LONGS)] + ["group"]
+        held = [np.stack([C.column(b, c).to_numpy() for c in columns]) for b in batches if b.num_rows]
+        if held:
+            block = TaskContext.get().partitionId()
+            C.save(path, str(block), np.concatenate(held, axis=1))
+            yield pa.record_batch([pa.array([block], pa.int32())], ["block"])
+
+    return save
+
+
+def _search(path, tasks, limit):
+    """The groups that each task's piece of two blocks links."""
+
+    def block(name):
+        table = np.array(C.load(path, str(name), np.int64)).reshape(LONGS + 1, -1)
+        return table[:LONGS].view(np.uint64), table[LONGS]
+
+    def search(batches):
+        for batch in batches:
+            for task in C.column(batch, "id").to_pylist():
+                one, two, (lo, bits, radius) = tasks[task]
+                a = Sorted(*block(one), lo, bits)
+                b = a if one == two else Sorted(*block(two), lo, bits)
+                x, y = across(a, b, bits, radius, limit)
+                yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return search
+
+
+def missing(grouped: DataFrame, rows: int, limit: int) -> DataFrame:
+    """Pairs of groups, the lesser first, that some signatures of theirs within the limit link; ``grouped`` has s0 .. and group."""
+    spark = grouped.sparkSession
+    path = C.fresh_path(spark, "signatures")
+    saved = grouped.repartition(rows // BLOCK + 1, "rep").mapInArrow(C.tidy(_save_block(path)), "block int").collect()
+    blocks = sorted(r.block for r in saved)
+    tasks = [(x, y, piece) for k, x in enumerate(blocks) for y in blocks[k:] for piece in pieces(limit)]
+    found = spark.range(0, len(tasks), 1, max(len(tasks), 1)).mapInArrow(C.tidy(_search(path, tasks, limit)), "a long, b long")
+    return found.distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and group, the least id connected with it, for every id of the edges a, b (a < b)."""
     edges = C.checkpoint(edges.distinct())
@@ -265,14 +401,24 @@ def groups(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """doc_id, group_id (its least doc_id) and keep of every document that has a near copy."""
     names = [f"s{k}" for k in range(LONGS)]
     signed = C.texts(docs.where("doc_id is not null and text is not null")).mapInArrow(C.tidy(_sign), "doc_id long, " + ", ".join(f"{x} long" for x in names))
-    signed = C.checkpoint(signed.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*"))
+    return groups_of_signatures(C.checkpoint(signed.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*")), limit)
+
+
+def groups_of_signatures(signed: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+    """The same from doc_id, each once, and its signature's s0 .. ."""
+    names = [f"s{k}" for k in range(LONGS)]
     distinct = C.checkpoint(signed.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     same = signed.join(distinct.where("n > 1"), names).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * BITS // 1_000_000 + 1)
+    rows = distinct.count()
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * BITS // 1_000_000 + 1)
     keys = distinct.select("rep", *names).mapInArrow(C.tidy(_keys(parts)), "part int, keys binary, reps binary, counts binary")
     members = keys.repartition(parts, "part").mapInArrow(C.tidy(_buckets), "bucket long, rep long").distinct()
     signed_members = members.join(distinct.select("rep", *names), "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
     near = signed_members.mapInArrow(C.tidy(_verify(limit)), "a long, b long")
+    if limit > 2 * SEGMENTS - 1:
+        first = components(near).select(F.col("id").alias("rep"), "group")
+        grouped = distinct.join(first, "rep", "left").select("rep", *names, F.coalesce("group", "rep").alias("group"))
+        near = first.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b")).union(missing(grouped, rows, limit))
     found = components(same.union(near))
     return found.select(F.col("id").alias("doc_id"), F.col("group").alias("group_id"), (F.col("id") == F.col("group")).alias("keep"))
 

@@ -144,6 +144,70 @@ def test_simhash_bulk_verification_against_forest():
         assert cases.groups_of(zip(a, b), rep) == cases.groups_of(want, rep)
 
 
+def test_simhash_leaves_no_near_pair_out(spark):
+    """Pairs of edited texts within MAX_BITS that share no variant, with no third text between."""
+    rng = random.Random(21)
+    rows, far = [], 0
+    while far < 6:
+        text = cases.prose(rng, rng.randint(60, 200))
+        words = text.split(" ")
+        for at in rng.sample(range(len(words)), len(words) // 8):
+            words[at] = rng.choice(cases.WORDS)
+        pair = [text, " ".join(words)]
+        a, b = simhash.signatures(*C.text_bytes(pa.array(pair)))[0]
+        if simhash.distances(a, b) <= simhash.MAX_BITS and not set(simhash.variants(a[None])[0]) & set(simhash.variants(b[None])[0]):
+            rows += [cases.row(len(rows), pair[0]), cases.row(len(rows) + 1, pair[1])]
+            far += 1
+    sigs, _ = simhash.signatures(*C.text_bytes(pa.array([r[1] for r in rows])))
+    near = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if simhash.distances(sigs[a], sigs[b]) <= simhash.MAX_BITS]
+    want = cases.groups_of(near, range(len(rows)))
+    assert {r.doc_id: r.group_id for r in simhash.groups(cases.frame(spark, rows)).collect()} == want
+    kept = {r.doc_id for r in simhash.filter_near_copies(cases.frame(spark, rows)).collect()}
+    assert kept == set(want.values())
+
+
+def flipped(sig, at):
+    bits = np.unpackbits(sig.view(np.uint8), bitorder="little")
+    bits[at] ^= 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_simhash_limit_is_exact_over_blocks(spark, monkeypatch, block):
+    """Pairs of 36 bits that lie evenly are linked and those of 37 aren't, in one block and in several."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    sigs = []
+    for k in range(40):
+        one = rng.integers(0, 1 << 63, simhash.LONGS).astype(np.uint64)
+        sigs += [one, flipped(one, (np.arange(36 + k % 2) * 256 // 37 + k) % 256)]
+    shared = [set(a) & set(b) for a, b in zip(simhash.variants(np.stack(sigs[::2])), simhash.variants(np.stack(sigs[1::2])))]
+    assert not any(shared)
+    rows = [(k, *map(int, s.astype(np.int64))) for k, s in enumerate(sigs)]
+    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"s{k} long" for k in range(simhash.LONGS)))
+    got = {r.doc_id: (r.group_id, r.keep) for r in simhash.groups_of_signatures(frame).collect()}
+    assert got == {i: (i - i % 2, i % 2 == 0) for i in range(80) if i // 2 % 2 == 0}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 5, 17, 18, 36, 60])
+def test_simhash_second_pass_against_all_pairs(monkeypatch, limit):
+    """Groups linked by signatures within the limit, over one block and over two, with groups and values of many rows."""
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng = np.random.default_rng(limit)
+    centres = rng.integers(0, 1 << 63, (6, simhash.LONGS)).astype(np.uint64)
+    sigs = np.stack([flipped(centres[k % 6], rng.choice(256, rng.integers(0, limit + 8), replace=False)) for k in range(90)])
+    group = np.where(rng.random(90) < 0.5, np.arange(90) % 6, np.arange(90))
+    want = {(min(group[i], group[j]), max(group[i], group[j])) for i in range(90) for j in range(i) if group[i] != group[j] and simhash.distances(sigs[i], sigs[j]) <= limit}
+    assert sum(r + 1 for _, _, r in simhash.pieces(limit)) == limit + 1
+    for cut in (90, 40):
+        got = set()
+        for lo, bits, radius in simhash.pieces(limit):
+            blocks = [simhash.Sorted(sigs[x].T, group[x], lo, bits) for x in (slice(0, cut), slice(cut, 90))[: 1 + (cut < 90)]]
+            for x, y in ((x, y) for k, x in enumerate(blocks) for y in blocks[k:]):
+                got |= set(zip(*(v.tolist() for v in simhash.across(x, y, bits, radius, limit))))
+        assert got == want
+
+
 def test_simhash_edges(spark):
     rows = cases.nasty()
     frame = cases.frame(spark, rows)
