@@ -44,7 +44,7 @@ BITS, SEGMENTS, MAX_BITS = 256, 9, 36
 LONGS = BITS // 64
 CUTS = np.linspace(0, BITS, SEGMENTS + 1).astype(int)
 #: Signatures of a block of the second pass, pairs compared at a time, and the most bits of a piece that are looked up.
-BLOCK, PAIRS, PIECE_BITS = 1 << 20, 1 << 18, 21
+BLOCK, PAIRS, PIECE_BITS = 1 << 20, 1 << 14, 21
 
 #: Bytes of a word: ASCII letters and digits, and all of a multi-byte character; ASCII capitals folded.
 _WORD = np.zeros(256, bool)
@@ -308,6 +308,9 @@ def _runs(a: Sorted, b: Sorted, bits: int, radius: int) -> Iterator[tuple[np.nda
 
 def _rows(a: Sorted, b: Sorted, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows of pairs of runs, every one of the left with every one of the right."""
+    single = (a.size[left] == 1) & (b.size[right] == 1)
+    yield a.at[left[single]], b.at[right[single]]
+    left, right = left[~single], right[~single]
     for x, y in C.blocks(a.size[left], PAIRS):
         n = a.size[left[x:y]]
         i, other = C.ragged(a.at[left[x:y]], n), np.repeat(right[x:y], n)
@@ -316,9 +319,15 @@ def _rows(a: Sorted, b: Sorted, left: np.ndarray, right: np.ndarray) -> Iterator
             yield np.repeat(i[p:q], n[p:q]), C.ragged(b.at[other[p:q]], n[p:q])
 
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """The different columns of two rows."""
+    pairs = pairs[:, np.lexsort(pairs)]
+    return pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])[: pairs.shape[1]]]
+
+
 def across(a: Sorted, b: Sorted, bits: int, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Lesser and greater group, once each, of all pairs of different groups within the limit whose pieces are within the radius."""
-    found = np.zeros((0, 2), np.int64)
+    found, n = [np.zeros((2, 0), np.int64)], 0
     for left, right in _runs(a, b, bits, radius):
         for i, j in _rows(a, b, left, right):
             d = np.bitwise_count(a.sigs[0][i] ^ b.sigs[0][j]).astype(np.int16)
@@ -327,9 +336,12 @@ def across(a: Sorted, b: Sorted, bits: int, radius: int, limit: int) -> tuple[np
                 near = np.flatnonzero(d <= limit)
                 d, i, j = d[near], i[near], j[near]
             if len(i):
-                pair = np.sort(np.stack([a.groups[i], b.groups[j]], 1), 1)
-                found = np.unique(np.concatenate([found, pair]), axis=0)
-    return found[:, 0], found[:, 1]
+                one, two = a.groups[i], b.groups[j]
+                found.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+                n += len(i)
+                if n > max(16 * PAIRS, found[0].shape[1]):
+                    found, n = [_once(np.concatenate(found, axis=1))], 0
+    return tuple(_once(np.concatenate(found, axis=1)))
 
 
 def _save_block(path):
