@@ -144,11 +144,10 @@ def test_simhash_bulk_verification_against_forest():
         assert cases.groups_of(zip(a, b), rep) == cases.groups_of(want, rep)
 
 
-def test_simhash_leaves_no_near_pair_out(spark):
-    """Pairs of edited texts within MAX_BITS that share no variant, with no third text between."""
-    rng = random.Random(21)
-    rows, far = [], 0
-    while far < 6:
+def pairs_without_variant(rng, n):
+    """Texts 2k and 2k + 1, edited, that are within MAX_BITS and share no variant."""
+    texts = []
+    while len(texts) < 2 * n:
         text = cases.prose(rng, rng.randint(60, 200))
         words = text.split(" ")
         for at in rng.sample(range(len(words)), len(words) // 8):
@@ -156,8 +155,13 @@ def test_simhash_leaves_no_near_pair_out(spark):
         pair = [text, " ".join(words)]
         a, b = simhash.signatures(*C.text_bytes(pa.array(pair)))[0]
         if simhash.distances(a, b) <= simhash.MAX_BITS and not set(simhash.variants(a[None])[0]) & set(simhash.variants(b[None])[0]):
-            rows += [cases.row(len(rows), pair[0]), cases.row(len(rows) + 1, pair[1])]
-            far += 1
+            texts += pair
+    return texts
+
+
+def test_simhash_leaves_no_near_pair_out(spark):
+    """Pairs of edited texts within MAX_BITS that share no variant, with no third text between."""
+    rows = [cases.row(k, t) for k, t in enumerate(pairs_without_variant(random.Random(21), 6))]
     sigs, _ = simhash.signatures(*C.text_bytes(pa.array([r[1] for r in rows])))
     near = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if simhash.distances(sigs[a], sigs[b]) <= simhash.MAX_BITS]
     want = cases.groups_of(near, range(len(rows)))

@@ -1,10 +1,12 @@
 """The corpus pipeline against its stages done plainly, and the registration."""
 
 import base64
+import random
 
 import cases
 import numpy as np
 import pyarrow as pa
+from test_dedup import pairs_without_variant
 
 import corpus_pipeline
 from pagelake.llm import bpe, decontam, lines, quality, simhash
@@ -50,6 +52,18 @@ def test_pipeline_against_plain_stages(spark):
     assert 0.5 * docs.count() < len(want) < docs.count()
 
 
+def test_pipeline_keeps_one_of_each_near_pair(spark, tmp_path):
+    """Pairs within MAX_BITS that share no variant; nothing is labelled, and no line repeats."""
+    rows = [cases.row(k, t) for k, t in enumerate(pairs_without_variant(random.Random(22), 6))]
+    cases.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, there in (("labels", "false"), ("benchmark", "true")):
+        C.read(spark, SF, name).where(there).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sigs, _ = simhash.signatures(*C.text_bytes(pa.array([r[1] for r in rows])))
+    near = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if simhash.distances(sigs[a], sigs[b]) <= simhash.MAX_BITS]
+    want = set(cases.groups_of(near, range(len(rows))).values())
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want and len(want) <= 6
+
+
 def test_stages_keep_columns_and_take_awkward_rows(spark):
     rows = cases.nasty()
     docs = cases.frame(spark, rows)
