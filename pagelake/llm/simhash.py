@@ -23,7 +23,7 @@ components as all its pairs would; components over the corpus are found by alter
 and small-star steps. There is no cap on a bucket's members.
 
 Defined results: null ids and texts without a letter or digit are in no group; rows of one doc_id
-count once, by their least signature; ties keep the least doc_id; extra columns pass through whatever their names;
+are one document, which is linked by the signature of each of them; ties keep the least doc_id; extra columns pass through whatever their names;
 doc_id is a whole number (or a string of one); very long texts are read whole, as one row of work arrays of about 30 bytes a byte of text; an
 empty table gives an empty result.
 """
@@ -225,11 +225,11 @@ def linked(bucket: np.ndarray, rep: np.ndarray, sigs: np.ndarray, limit: int) ->
 
 
 def _verify(limit, rows=1 << 16):
-    """Pairs of rows sorted by bucket, some whole buckets at a time."""
+    """Pairs of ids, of rows sorted by bucket and id, some whole buckets at a time."""
 
     def pairs(table):
         sigs = np.stack([table.column(f"s{k}").to_numpy() for k in range(LONGS)], 1).astype(np.uint64)
-        a, b = linked(table.column("bucket").to_numpy(), table.column("rep").to_numpy(), sigs, limit)
+        a, b = linked(table.column("bucket").to_numpy(), table.column("least").to_numpy(), sigs, limit)
         return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     def verify(batches):
@@ -413,24 +413,25 @@ def groups(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """doc_id, group_id (its least doc_id) and keep of every document that has a near copy."""
     names = [f"s{k}" for k in range(LONGS)]
     signed = C.texts(docs.where("doc_id is not null and text is not null")).mapInArrow(C.tidy(_sign), "doc_id long, " + ", ".join(f"{x} long" for x in names))
-    return groups_of_signatures(C.checkpoint(signed.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*")), limit)
+    return groups_of_signatures(C.checkpoint(signed.distinct()), limit)
 
 
 def groups_of_signatures(signed: DataFrame, limit: int = MAX_BITS) -> DataFrame:
-    """The same from doc_id, each once, and its signature's s0 .. ."""
+    """The same from doc_id and each of its different signatures' s0 .. ."""
     names = [f"s{k}" for k in range(LONGS)]
-    distinct = C.checkpoint(signed.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    same = signed.join(distinct.where("n > 1"), names).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # rep is the signature's own number, least its least doc_id, which other signatures may have, too
+    distinct = C.checkpoint(signed.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    same = signed.join(distinct.where("n > 1"), names).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     rows = distinct.count()
     parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * BITS // 1_000_000 + 1)
     keys = distinct.select("rep", *names).mapInArrow(C.tidy(_keys(parts)), "part int, keys binary, reps binary, counts binary")
     members = keys.repartition(parts, "part").mapInArrow(C.tidy(_buckets), "bucket long, rep long").distinct()
-    signed_members = members.join(distinct.select("rep", *names), "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    near = signed_members.mapInArrow(C.tidy(_verify(limit)), "a long, b long")
+    signed_members = members.join(distinct.select("rep", "least", *names), "rep").drop("rep").repartition("bucket").sortWithinPartitions("bucket", "least")
+    near = signed_members.mapInArrow(C.tidy(_verify(limit)), "a long, b long").where("a <> b")
     if limit > 2 * SEGMENTS - 1:
-        first = components(near).select(F.col("id").alias("rep"), "group")
-        grouped = distinct.join(first, "rep", "left").select("rep", *names, F.coalesce("group", "rep").alias("group"))
-        near = first.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b")).union(missing(grouped, rows, limit))
+        first = components(near).select(F.col("id").alias("least"), "group")
+        grouped = distinct.join(first, "least", "left").select("rep", *names, F.coalesce("group", "least").alias("group"))
+        near = first.where("least <> group").select(F.col("group").alias("a"), F.col("least").alias("b")).union(missing(grouped, rows, limit))
     found = components(same.union(near))
     return found.select(F.col("id").alias("doc_id"), F.col("group").alias("group_id"), (F.col("id") == F.col("group")).alias("keep"))
 

@@ -170,6 +170,34 @@ def test_simhash_leaves_no_near_pair_out(spark):
     assert kept == set(want.values())
 
 
+def repeated_ids(rng):
+    """Documents of two rows with a text of their own and one within MAX_BITS of another document's, which has the lesser signature in some and the greater in others."""
+    rows, texts = [], iter(pairs_without_variant(rng, 5))
+    for k in range(5):
+        rows += [cases.row(3 * k, next(texts)), cases.row(3 * k + 1, next(texts)), cases.row(3 * k + 1, cases.prose(rng, 90))]
+    rows += [cases.row(2, cases.prose(rng, 80)), cases.row(2, rows[0][1]), cases.row(50, rows[2][1]), cases.row(51, rows[0][1]), cases.row(51, rows[3][1])]
+    return rows + [cases.row(60, rows[-1][1] + " one"), cases.row(61, t := cases.prose(rng, 99)), cases.row(61, t + " two")]
+
+
+def groups_by_rows(rows):
+    """The least id that each id is connected with by any rows within MAX_BITS."""
+    sigs, _ = simhash.signatures(*C.text_bytes(pa.array([r[1] for r in rows])))
+    near = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a + 1, len(rows)) if simhash.distances(sigs[a], sigs[b]) <= simhash.MAX_BITS]
+    return cases.groups_of(near, {r[0] for r in rows})
+
+
+@pytest.mark.parametrize("limit", [17, simhash.MAX_BITS])
+def test_simhash_links_by_every_row_of_an_id(spark, monkeypatch, limit):
+    rows = repeated_ids(random.Random(23))
+    monkeypatch.setattr(simhash, "MAX_BITS", limit)
+    want = groups_by_rows(rows)
+    linked = {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
+    frame = cases.frame(spark, rows)
+    assert {r.doc_id: (r.group_id, r.keep) for r in simhash.groups(frame, limit).collect()} == {i: (g, i == g) for i, g in linked.items()}
+    kept = sorted(r.doc_id for r in simhash.filter_near_copies(frame, limit).collect())
+    assert kept == sorted(r[0] for r in rows if want[r[0]] == r[0]) and 61 in want and 61 not in linked
+
+
 def flipped(sig, at):
     bits = np.unpackbits(sig.view(np.uint8), bitorder="little")
     bits[at] ^= 1

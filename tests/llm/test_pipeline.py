@@ -6,7 +6,7 @@ import random
 import cases
 import numpy as np
 import pyarrow as pa
-from test_dedup import pairs_without_variant
+from test_dedup import groups_by_rows, pairs_without_variant, repeated_ids
 
 import corpus_pipeline
 from pagelake.llm import bpe, decontam, lines, quality, simhash
@@ -64,6 +64,20 @@ def test_pipeline_keeps_one_of_each_near_pair(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want and len(want) <= 6
 
 
+def test_pipeline_links_by_every_row_of_an_id(spark, tmp_path):
+    """Documents of two texts, of which either may be near another document's; nothing is labelled, and no line repeats."""
+    seen, rows = set(), []
+    for r in repeated_ids(random.Random(24)):
+        rows += [r] if r[1] not in seen else []
+        seen.add(r[1])
+    cases.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, there in (("labels", "false"), ("benchmark", "true")):
+        C.read(spark, SF, name).where(there).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = groups_by_rows(rows)
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in rows if want[r[0]] == r[0]) and len(got) < len(rows) / 2
+
+
 def test_stages_keep_columns_and_take_awkward_rows(spark):
     rows = cases.nasty()
     docs = cases.frame(spark, rows)
