@@ -97,6 +97,7 @@ def nearest(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataF
     """word, term, distance: the closest term within ``distance``, of several the most frequent, of these the first by name.
 
     Edits are counted by the built-in Levenshtein distance; only pairs that swapped neighbours could bring within reach are aligned in Python.
+    A swap spares one edit. So 2 edits are fewer, and the most are few enough, only where all are swaps: then both have the same characters.
     """
 
     @F.arrow_udf("int")
@@ -110,13 +111,19 @@ def nearest(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataF
             out[some[which]] = _distances([left[j] for j in which], [right[j] for j in which], distance)
         return pa.array(out, pa.int32())
 
-    left = deletions(words.select("word"), "word", distance)
-    right = deletions(dictionary.select("term", "count"), "term", distance)
-    pairs = left.join(right, "rest").where(F.abs(F.length("word") - F.length("term")) <= distance).select("word", "term", "count").distinct()
+    swapped = swapped.asNondeterministic()  # else the last filter takes it below distinct, and pairs are aligned again and again
+    # by hash: equal hashes of different rests are only more pairs to measure
+    hashed = F.xxhash64("rest").alias("rest")
+    left = deletions(words.select("word"), "word", distance).select("word", hashed)
+    right = deletions(dictionary.select("term", "count"), "term", distance).select("term", "count", hashed)
+    # hundreds of rows a word, which Spark takes for as small as the words' files: without the hint the driver would gather them for a broadcast
+    pairs = left.hint("merge").join(right, "rest").where(F.abs(F.length("word") - F.length("term")) <= distance).select("word", "term", "count").distinct()
     edits = F.levenshtein("word", "term", 2 * distance)
-    open_ = F.col("edits").between(2, 2 * distance)
-    near = pairs.withColumn("edits", edits).withColumn("swaps", swapped(F.when(open_, F.col("word")), F.when(open_, F.col("term"))))
-    near = near.withColumn("distance", F.when(open_, F.col("swaps")).otherwise(F.col("edits"))).where(F.col("distance").between(0, distance))
+    same = F.array_sort(F.split("word", "")) == F.array_sort(F.split("term", ""))
+    open_ = F.when(F.col("edits").isin(2, max(2, 2 * distance)), same).otherwise(F.col("edits").between(3, 2 * distance))
+    near = pairs.withColumn("edits", edits).withColumn("open", open_).where((F.col("edits").between(0, distance)) | F.col("open"))
+    near = near.withColumn("swaps", swapped(F.when(F.col("open"), F.col("word")), F.when(F.col("open"), F.col("term"))))
+    near = near.withColumn("distance", F.when(F.col("open"), F.col("swaps")).otherwise(F.col("edits"))).where(F.col("distance").between(0, distance))
     rank = F.row_number().over(W.partitionBy("word").orderBy("distance", F.desc("count"), "term"))
     return near.withColumn("rank", rank).where("rank = 1").select("word", "term", "distance")
 

@@ -56,3 +56,36 @@ def test_names_that_end_alike(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("ba.png", "a.png", "c d.png", "a.png")]
     got = files.read_images(spark, paths).orderBy("ord").collect()
     assert [(r.ord, bytes(r.content)) for r in got] == [(0, b"ba.png"), (1, b"a.png"), (2, b"c d.png"), (3, b"a.png")]
+
+
+def test_no_deletions_in_a_broadcast(spark, tmp_path):
+    """From small files, too: a word has hundreds of shorter forms, of which the planner knows nothing."""
+    rng = random.Random(5)
+    terms = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
+    words = [t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in terms for i in (1, 5)]
+    spark.createDataFrame([(t, 7) for t in terms], "term string, count long").write.parquet(f"{tmp_path}/terms")
+    spark.createDataFrame([(w,) for w in words], "word string").write.parquet(f"{tmp_path}/words")
+    for distance in (1, 2):
+        found = spell.nearest(spark.read.parquet(f"{tmp_path}/words"), spark.read.parquet(f"{tmp_path}/terms"), distance)
+        assert len(found.collect()) == len(set(words))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_by_swaps_alone(spark):
+    """Words that are near only as swaps count once, among others with the same characters that aren't near."""
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("abcdé𝒶") for _ in range(8)) for _ in range(60)]
+    words = set()
+    for t in terms:
+        for swaps in (1, 2, 3):
+            w = t
+            for i in rng.sample(range(7), swaps):
+                w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            words |= {w, w[:-1] + "x", "".join(rng.sample(t, 8))}
+    for distance in (1, 2, 3):
+        want = {}
+        for w in words:
+            if near := [(plain(w, t), t) for t in set(terms) if plain(w, t) <= distance]:
+                want[w] = min(near)[::-1]
+        got = spell.nearest(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t, 1) for t in set(terms)], "term string, count long"), distance)
+        assert {r.word: (r.term, r.distance) for r in got.collect()} == want and len(want) > 60
