@@ -2,11 +2,15 @@
 
 All of it groups by page: with the regions partitioned by page_id, one exchange serves the whole chain.
 Only the choice of what to drop among overlapping regions and the merging of neighbours need the
-regions one after another; both are folds over a page's array, within the JVM.
+regions one after another: the first is a fold over a page's pairs in Arrow batches, the second over its array, within the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,12 +73,100 @@ def overlap_pairs(regions: DataFrame) -> DataFrame:
     return pairs.select("page_id", F.col("a_region_idx").alias("i"), F.col("b_region_idx").alias("j"), "inter", victim.alias("victim"))
 
 
+#: Pairs that are looked at together; a region with more than these behind it on its page is looked at alone.
+PAIRS = 1 << 19
+
+
+def _victims(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """overlap_pairs in numpy, of rows with an area: 1 where the first of the pair goes, 2 where the second does, else 0."""
+    inter = np.maximum(0, np.minimum(a["x1"][i], a["x1"][j]) - np.maximum(a["x0"][i], a["x0"][j])) * np.maximum(0, np.minimum(a["y1"][i], a["y1"][j]) - np.maximum(a["y0"][i], a["y0"][j]))
+    out = np.zeros(len(i), np.int8)
+    met = np.flatnonzero(inter > 0)
+    i, j, inter = i[met], j[met], inter[met]
+    ai, aj, li, lj, ci, cj = (a[k][x] for k in ("area", "label", "confidence") for x in (i, j))
+    c, large = inter / np.minimum(ai, aj), np.maximum(ai, aj) / np.minimum(ai, aj)
+    titles = a["title"][i] - a["title"][j]
+    titles[(li < 0) | (lj < 0)] = 0
+    same = (li == lj) & (li >= 0)
+    # NaN counts as the greatest, and where a confidence is missing, the first goes
+    surer = ((ci >= cj) | np.isnan(ci)) & a["sure"][i] & a["sure"][j]
+    out[met] = np.select(
+        [(c > 0.8) & (titles > 0), (c > 0.8) & (titles < 0), same & (c > 0.8), same & (c > 0.7), (inter / aj > 0.5) & (aj < ai), (inter / ai > 0.5) & (ai < aj), (large > 3) & (c > 0.3)],
+        [2, 1, np.where(surer, 2, 1), np.where(ai >= aj, 2, 1), 2, 1, np.where(ai < aj, 1, 2)],
+    )
+    return out
+
+
+def _kept(pages: pa.Table) -> np.ndarray:
+    """Which rows of whole pages stay; the rows are in the order of page and region_idx, __pos is 1 at a page's first."""
+    whole = {c: pages[c].combine_chunks() for c in ("page_id", "region_idx", "label", "confidence", *BOX)}
+    number = lambda c: whole[c].fill_null(0).to_numpy(zero_copy_only=False)
+    there = lambda c: whole[c].is_valid().to_numpy(zero_copy_only=False)
+    a = {c: number(c).astype(np.int64) for c in ("region_idx", *BOX)} | {"confidence": number("confidence").astype(float), "sure": there("confidence")}
+    a["area"] = np.maximum(0, a["x1"] - a["x0"]) * np.maximum(0, a["y1"] - a["y0"])
+    coded = whole["label"].dictionary_encode()
+    a["label"] = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    a["title"] = np.array([x in TITLES for x in coded.dictionary.to_pylist()] + [False], np.int8)[a["label"]]
+    page = np.cumsum(pages["__pos"].to_numpy() == 1)
+    # equal numbers of a page go together
+    key = np.cumsum(np.diff(page, prepend=-1).astype(bool) | np.diff(a["region_idx"], prepend=0).astype(bool)) - 1
+    rows = np.flatnonzero(np.logical_and.reduce([there(c) for c in ("page_id", "region_idx", *BOX)]) & (a["area"] > 0))
+    a, own = {c: x[rows] for c, x in a.items()}, key[rows]
+    after = np.searchsorted(own, own, "right")  # the first row behind it with another number
+    n = np.maximum(0, np.searchsorted(page[rows], page[rows], "right") - after)
+    upto, twice = np.cumsum(n), len(np.unique(own)) < len(own)
+    gone, start = np.zeros(len(key), bool), 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        end = int(np.searchsorted(own, own[end - 1], "right"))
+        which = np.arange(start, end)[~gone[own[start:end]]]
+        i = np.repeat(which, n[which])
+        j = np.arange(len(i)) + np.repeat(after[which] - (np.cumsum(n[which]) - n[which]), n[which])
+        alive = ~gone[own[j]]
+        i, j = i[alive], j[alive]
+        victim = _victims(a, i, j)
+        hit = np.flatnonzero(victim)
+        one, two = own[i[hit]], own[j[hit]]
+        lost = np.where(victim[hit] == 1, one, two)
+        if twice:
+            order = np.lexsort((lost, two, one))
+            one, two, lost = one[order], two[order], lost[order]
+        done = gone[: own[-1] + 1].tolist()
+        for p, q, v in zip(one.tolist(), two.tolist(), lost.tolist()):
+            if not (done[p] or done[q]):
+                done[v] = True
+        gone[: len(done)] = done
+        start = end
+    return ~gone[key]
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows as they come, cut only before a page's first row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("__pos").to_numpy() == 1)
+        if len(begins):
+            held.append(batch[: begins[-1]])
+            if sum(x.num_rows for x in held):
+                yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch[begins[-1] if len(begins) else 0 :])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def dedup(regions: DataFrame) -> DataFrame:
-    """Overlaps resolved pair by pair, in the order of (i, j); a pair with a region already gone is passed over."""
-    step = F.struct("i", "j", F.when(F.col("victim") == "i", F.col("i")).otherwise(F.col("j")).alias("v"))
-    listed = overlap_pairs(regions).where("victim is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(step)).alias("pairs"))
-    gone = F.expr("aggregate(pairs, cast(array() as array<int>), (gone, p) -> if(array_contains(gone, p.i) or array_contains(gone, p.j), gone, array_append(gone, p.v)))")
-    return regions.join(listed.select("page_id", F.explode(gone).alias("region_idx")), ["page_id", "region_idx"], "left_anti")
+    """Overlaps resolved pair by pair, in the order of (i, j); a pair with a region already gone is passed over.
+
+    Pages are folded over as they come from one exchange, in Arrow batches; of a page's pairs about ``PAIRS`` are held at a time.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _whole_pages(batches):
+            yield from pages.drop_columns(["__pos"]).filter(pa.array(_kept(pages))).to_batches()
+
+    # the window brings pages together and leaves them in order, without an exchange of its own where they are together already
+    return regions.withColumn("__pos", F.row_number().over(page().orderBy("region_idx"))).mapInArrow(fold, regions.schema)
 
 
 def raw_columns(regions: DataFrame) -> DataFrame:
