@@ -7,7 +7,7 @@ regions one after another: the first is a fold over a page's pairs in Arrow batc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,12 @@ def confident(regions: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def rescue(regions: DataFrame, threshold: float = 0.5, floor: float = 0.15, least_area: int = 500, most_overlap: float = 0.3) -> DataFrame:
     """The confident regions, then those of at least ``floor`` and ``least_area`` that the confident ones hardly cover; numbered anew."""
-    accepted = confident(regions, threshold)
-    weak = regions.where((F.col("confidence") >= floor) & (F.col("confidence") < threshold) & (area(box()) >= least_area))
-    over = accepted.select("page_id", *[F.col(c).alias(f"a_{c}") for c in BOX])
-    meets = (F.col("a_x0") < F.col("x1")) & (F.col("a_x1") > F.col("x0")) & (F.col("a_y0") < F.col("y1")) & (F.col("a_y1") > F.col("y0"))
-    covered = weak.join(over.withColumnRenamed("page_id", "a_page"), (F.col("page_id") == F.col("a_page")) & meets).groupBy("page_id", "region_idx").agg(F.sum(intersection(box(), box("a_"))).alias("covered"))
-    saved = weak.join(covered, ["page_id", "region_idx"], "left").where(F.coalesce("covered", F.lit(0)) / area(box()) < most_overlap)
-    both = accepted.withColumn("saved", F.lit(0)).unionByName(saved.drop("covered").withColumn("saved", F.lit(1)))
-    return renumbered(both, "saved", "region_idx").drop("saved")
+    return _by_page(*_rescue(regions, threshold, floor, least_area, most_overlap))
+
+
+def _rescue(regions: DataFrame, threshold: float = 0.5, floor: float = 0.15, least_area: int = 500, most_overlap: float = 0.3) -> tuple[DataFrame, Callable[[pa.Table], pa.Table]]:
+    """What the step of rescue starts from, and the step."""
+    return regions.where(F.col("confidence") >= min(floor, threshold)), lambda pages: _rescued(pages, threshold, least_area, most_overlap)
 
 
 def overlap_pairs(regions: DataFrame) -> DataFrame:
@@ -155,20 +153,73 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def dedup(regions: DataFrame) -> DataFrame:
-    """Overlaps resolved pair by pair, in the order of (i, j); a pair with a region already gone is passed over.
+def _placed(pages: pa.Table, page: np.ndarray) -> pa.Table:
+    """The rows with __pos from 1 on each page."""
+    pos = np.arange(len(page)) - np.searchsorted(page, page) + 1
+    return pages.set_column(pages.column_names.index("__pos"), "__pos", pa.array(pos.astype(np.int32)))
+
+
+def _renumbered(pages: pa.Table) -> pa.Table:
+    """region_idx counted from 0 as __pos is from 1."""
+    return pages.set_column(pages.column_names.index("region_idx"), "region_idx", pa.array(pages["__pos"].to_numpy() - 1, pa.int32()))
+
+
+def _deduped(pages: pa.Table) -> pa.Table:
+    kept = _kept(pages)
+    return _placed(pages.filter(pa.array(kept)), np.cumsum(pages["__pos"].to_numpy() == 1)[kept])
+
+
+def _rescued(pages: pa.Table, threshold: float, least_area: int, most_overlap: float) -> pa.Table:
+    """Of regions of a confidence of at least the floor; the areas that confident ones cover are summed by region_idx."""
+    whole = {c: pages[c].combine_chunks() for c in ("page_id", "region_idx", *BOX)}
+    x0, y0, x1, y1 = (whole[c].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in BOX)
+    there = {c: x.is_valid().to_numpy(zero_copy_only=False) for c, x in whole.items()}
+    confidence, page = pages["confidence"].to_numpy(), np.cumsum(pages["__pos"].to_numpy() == 1)
+    number = whole["region_idx"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    boxed = np.logical_and.reduce([there[c] for c in BOX])
+    # a side with a missing end is none
+    area = np.where(there["x0"] & there["x1"], np.maximum(0, x1 - x0), 0) * np.where(there["y0"] & there["y1"], np.maximum(0, y1 - y0), 0)
+    sure = (confidence >= threshold) | np.isnan(confidence)
+    weak = np.flatnonzero(~sure & (area >= least_area))
+    over, some = np.flatnonzero(sure & boxed & there["page_id"]), weak[(boxed & there["page_id"] & there["region_idx"])[weak]]
+    key = np.cumsum(np.diff(page, prepend=-1).astype(bool) | np.diff(number, prepend=0).astype(bool) | np.diff(there["region_idx"].astype(int), prepend=0).astype(bool)) - 1
+    low = np.searchsorted(page[over], page[some])
+    n = np.searchsorted(page[over], page[some], "right") - low
+    upto, covered, start = np.cumsum(n), np.zeros(len(page), np.int64), 0
+    while start < len(some):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        m = n[start:end]
+        i, j = np.repeat(some[start:end], m), over[np.arange(m.sum()) + np.repeat(low[start:end] - (np.cumsum(m) - m), m)]
+        inter = np.maximum(0, np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j])) * np.maximum(0, np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j]))
+        np.add.at(covered, key[i], inter)
+        start = end
+    saved = weak[np.where(there["region_idx"][weak], covered[key[weak]], 0) / area[weak] < most_overlap]
+    rows = np.concatenate([np.flatnonzero(sure), saved])
+    rows = rows[np.lexsort((rows, ~sure[rows], page[rows]))]
+    return _renumbered(_placed(pages.take(pa.array(rows)), page[rows]))
 
-    Pages are folded over as they come from one exchange, in Arrow batches; of a page's pairs about ``PAIRS`` are held at a time.
-    """
+
+def _by_page(regions: DataFrame, *steps: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Steps over tables of whole pages, whose rows are in the order of page and region_idx, with __pos from 1 on each page."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pages in _whole_pages(batches):
-            yield from pages.drop_columns(["__pos"]).filter(pa.array(_kept(pages))).to_batches()
+            for step in steps:
+                pages = step(pages)
+            yield from pages.drop_columns(["__pos"]).to_batches()
 
     # the window brings pages together and leaves them in order, without an exchange of its own where they are together already
     return regions.withColumn("__pos", F.row_number().over(page().orderBy("region_idx"))).mapInArrow(fold, regions.schema)
 
 
+def dedup(regions: DataFrame) -> DataFrame:
+    """Overlaps resolved pair by pair, in the order of (i, j); a pair with a region already gone is passed over.
+
+    Pages are folded over as they come from one exchange, in Arrow batches; of a page's pairs about ``PAIRS`` are held at a time.
+    """
+    return _by_page(regions, _deduped)
+
+
 def raw_columns(regions: DataFrame) -> DataFrame:
     """Columns of text: runs of the middles of narrow regions without a gap of over 0.3 median widths."""
     wide = regions.select("page_id", "region_idx", "x0", "x1", (F.col("x1") - F.col("x0")).alias("w"))
@@ -294,7 +345,7 @@ def process(regions: DataFrame, pages: DataFrame, lines: DataFrame | None = None
         return regions
     base = regions.withColumn("source", F.col("region_idx"))
     # each step reads its input several times over: without these cuts the plan would grow with the product
-    kept = settled(renumbered(dedup(settled(rescue(base))), "region_idx"))
+    kept = settled(_by_page(*_rescue(base), _deduped, _renumbered))
     ordered = settled(reading_order(settled(fill_gaps(kept, pages))))
     source = ordered.select("page_id", "position", "source")
     merged = merge_adjacent(ordered.withColumn("region_idx", F.col("position")))

@@ -50,3 +50,28 @@ def test_dedup_pair_by_pair(spark, monkeypatch):
 def test_dedup_takes_pages_once(spark, sf_dir):
     plan = core.QUERIES["layout_dedup"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_rescue_and_overlaps_in_one_pass(spark):
+    rows = [r for r in drawn(random.Random(8), 40, 30) if r[0] is not None and r[1] is not None]
+    rows = [(*r[:8], random.Random(k).choice([0.1, 0.2, 0.3, 0.4, 0.6, float("nan"), None])) for k, r in enumerate({r[:2]: r for r in rows}.values())]
+    regions = spark.createDataFrame(rows, REGIONS).repartition(3)
+    sure = lambda r: r[8] is not None and not r[8] < 0.5
+    whole = lambda r: None not in r[3:7]
+    side = lambda a, b: max(0, b - a)
+    want = []
+    for p in sorted({r[0] for r in rows}):
+        own = sorted((r for r in rows if r[0] == p), key=lambda r: r[1])
+        late = []
+        for r in own:
+            if r[8] is None or sure(r) or r[8] < 0.15 or not whole(r) or (area := side(r[3], r[5]) * side(r[4], r[6])) < 500:
+                continue
+            covered = sum(side(max(r[3], a[3]), min(r[5], a[5])) * side(max(r[4], a[4]), min(r[6], a[6])) for a in own if sure(a) and whole(a))
+            late += [r] * (covered / area < 0.3)
+        want += [(p, k, *r[2:]) for k, r in enumerate([r for r in own if sure(r)] + late)]
+    got = layout.rescue(regions)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and any(not sure(r) for r in want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    both = layout.renumbered(layout.dedup(got), "region_idx")
+    at_once = layout._by_page(*layout._rescue(regions), layout._deduped, layout._renumbered)
+    assert sorted(map(repr, map(tuple, at_once.collect()))) == sorted(map(repr, map(tuple, both.collect())))
