@@ -339,19 +339,19 @@ def drop_empty(regions: DataFrame, lines: DataFrame, labels: tuple[str, ...] = O
 def process(regions: DataFrame, pages: DataFrame, lines: DataFrame | None = None, enabled: bool = True, keep_empty: bool = False) -> DataFrame:
     """All steps: confidence and rescue, overlaps, gaps, reading order, merging, and (with lines) dropping empty text regions.
 
-    ``members`` of the result are positions in reading order before merging. With lines, those of a merged region are all its members' lines.
+    ``sources`` of the result are the region_idx, in reading order, of the regions that it holds. With lines, those of a merged region are all its members' lines.
     """
     if not enabled:
         return regions
     base = regions.withColumn("source", F.col("region_idx"))
     # each step reads its input several times over: without these cuts the plan would grow with the product
     kept = settled(_by_page(*_rescue(base), _deduped, _renumbered))
-    ordered = settled(reading_order(settled(fill_gaps(kept, pages))))
-    source = ordered.select("page_id", "position", "source")
-    merged = merge_adjacent(ordered.withColumn("region_idx", F.col("position")))
-    members = merged.select("page_id", "region_idx", F.explode("members").alias("position")).join(source, ["page_id", "position"])
-    sources = members.groupBy("page_id", "region_idx").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("position", "source"))), lambda x: x.source)).alias("sources"))
-    out = merged.drop("members").join(sources.drop("positions"), ["page_id", "region_idx"])
+    ordered = reading_order(settled(fill_gaps(kept, pages)))
+    if lines is not None and not keep_empty:
+        ordered = settled(ordered)
+    # members come in reading order, so that of sources they are the merged region's sources
+    merged = merge_adjacent(ordered.withColumn("region_idx", F.col("source")))
+    out = merged.withColumn("sources", F.array_compact("members")).drop("members")
     if lines is not None and not keep_empty:
         n = lines.groupBy("page_id", F.col("region_idx").alias("source")).count()
         held = out.select("page_id", "region_idx", F.explode("sources").alias("source")).join(n, ["page_id", "source"], "left_semi").select("page_id", "region_idx").distinct()
